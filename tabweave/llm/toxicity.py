@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import blank_null, slices
 
 SAMPLE, TRAIN_CHARS = 2000, 20_000
-WINDOW, LEVEL, BASE_BYTES, EXTRA_WORDS, BASE_WINDOWS = 8, 3, 32 << 10, 600, 60_000
+WINDOW, LEVEL, BASE_BYTES, EXTRA_WORDS, BASE_WINDOWS = 8, 3, 32 << 10, 100, 60_000
 #: Lengths in bytes of the word beginnings that are compared.
 STEMS = range(4, 11)
 #: A stem is toxic if this share of toxic documents has it, this many times the share of ordinary ones.
@@ -121,7 +121,9 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     least = max(3, STEM_SHARE * len(t))
     rich = {s for s, n in in_t.items() if n >= least and n / len(t) >= STEM_TIMES * (in_o[s] + 0.5) / len(o)}
     bad = lambda w: any(w[:n] in rich for n in STEMS)
-    extra = [w for w, _ in Counter(w for d in t for w in d if bad(w)).most_common(EXTRA_WORDS)]
+    # words count once for each pair of neighbours, so that copies of one text count once
+    found = Counter(w for _, w, _ in {x for d in t for x in zip([b"", *d], d, [*d[1:], b""], strict=False) if bad(x[1])})
+    extra = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:EXTRA_WORDS] if n >= least]
     plain = sorted({w for d in o for w in _windows(d) if not any(map(bad, w.split()))}, key=hash_of)[:BASE_WINDOWS]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, plain).as_bytes()
