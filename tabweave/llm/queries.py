@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, repetition, sql, token_counts, topk, toxicity, url_filter
+from . import bpe, html_text, mixing, repetition, sql, token_counts, topk, toxicity, url_filter
 from .common import keep, table
 
 
@@ -21,6 +21,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apply(measured, mixing.cutoffs(measured)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html_text": op2_html_text,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
