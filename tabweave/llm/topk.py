@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DATA_BLOCK, QUERY_BLOCK, LEAF, FAN, SHRINK = 8192, 2048, 48, 16, 1.3
+DATA_BLOCK, QUERY_BLOCK, LEAF, FAN, SHRINK = 8192, 2048, 256, 16, 1.3
 
 
 class Node:
@@ -60,6 +60,7 @@ class Search:
         self.q, self.qi, self.d, self.di, self.k = queries, query_ids, data, data_ids, k
         self.best: list[list[tuple]] = [[] for _ in range(len(queries))]
         self.worst = np.full(len(queries), -np.inf)
+        self.length = np.sqrt((queries * queries).sum(1))
         high = float(max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0)))
         self.slack = 1 + 1e-9 * high * high * queries.shape[1]
         self.exact = high * high * queries.shape[1] < 2.0**53
@@ -73,7 +74,9 @@ class Search:
         if _bound(q, d) + self.slack < self.worst[q.at].min():
             return
         if not q.children and not d.children:
-            return self.meet(q.at, d.at)
+            # the same bound once more, for each query by itself
+            reach = self.q[q.at] @ d.centre + self.length[q.at] * d.radius + self.slack >= self.worst[q.at]
+            return self.meet(q.at[reach], d.at)
         if d.children and (not q.children or d.radius >= q.radius):
             for c in sorted(d.children, key=lambda c: -_bound(q, c)):
                 self.visit(q, c)
