@@ -342,3 +342,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lost = df.where("id is null").select("text").mapInArrow(sizes, "n_shingles long")
     none = F.lit(None).cast("long")
     return out.unionAll(lost.select(none.alias(key), "n_shingles", none.alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns: one row of each component, that of its smallest key; rows with a null key stay."""
+    found = keep(join(docs, key, text))
+    gone = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("gone")).distinct()
+    out = docs.join(_beside(keep(gone)), docs[key] == F.col("gone"), "left_anti")
+    twice = keep(found.where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice"))
+    if twice.isEmpty():
+        return out
+    again = out.join(_beside(twice), out[key] == F.col("twice"), "left_semi").dropDuplicates([key])
+    return out.join(_beside(twice), out[key] == F.col("twice"), "left_anti").unionAll(again)
