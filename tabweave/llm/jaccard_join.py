@@ -53,6 +53,8 @@ PAIRS_UP_TO, LOCAL = 6, 64
 TILE = 1024
 #: Rows up to which an id table is broadcast (about 16 bytes a row).
 BROADCAST_IDS = 2_000_000
+#: Rounds in which tiles give spanning forests only.
+ROUNDS = 4
 
 
 def bands(n: int) -> list[int]:
@@ -271,8 +273,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return keep(both.mapInArrow(link, "u long, v long").distinct())
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a large bucket, are not yet together, and pass the sketch test."""
+def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray, rep: np.ndarray, failed: set[tuple[int, int]], forest: bool) -> list[tuple[int, int]]:
+    """The pairs as (smaller, larger) ids, without the failed; forest: nearest first, and only those that join two groups."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            if above[x] in above:
+                above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    out = []
+    for k in np.argsort(far, kind="stable").tolist():
+        u, v = sorted((int(rep[a[k]]), int(rep[b[k]])))
+        if (u, v) in failed:
+            continue
+        if forest:
+            x, y = root(int(label[a[k]])), root(int(label[b[k]]))
+            if x == y:
+                continue
+            above[x] = y
+        out.append((u, v))
+    return out
+
+
+def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: DataFrame | None, forest: bool) -> DataFrame:
+    """Pairs (u, v) that share a large bucket, are not yet together, haven't failed, and pass the sketch test.
+
+    forest: of each tile only the nearest ones that would join its groups.
+    """
     b = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("bucket", "rep", "label").distinct()
     b = keep(b)
     mixed = b.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").drop("hi")
@@ -280,6 +310,10 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     b = b.join(mixed, "bucket").withColumn("main", F.col("label") == F.col("lo"))
     sizes = b.groupBy("bucket").agg(F.count_if(F.col("main")).alias("km"), F.count_if(~F.col("main")).alias("kn"))
     b = b.join(sizes, "bucket").join(classes.select("rep", "n", "sketch"), "rep")
+    if failed is None:
+        b = b.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        b = b.join(failed.groupBy(F.col("u").alias("rep")).agg(F.collect_list("v").alias("failed")), "rep", "left")
     tiles = lambda c: F.ceil(F.col(c) / TILE).cast("long")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), tiles("km")).otherwise(tiles("kn")))
     b = b.withColumn("tm", tiles("km")).withColumn("tn", tiles("kn")).withColumn("own", own)
@@ -288,24 +322,28 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     mains = F.transform(F.sequence(F.lit(0), F.col("tm") - 1), lambda i: F.struct(F.lit("m").alias("k"), i.alias("i"), F.col("own").alias("j")))
     among = F.transform(F.sequence(F.lit(0), F.col("tn") - 1), lambda j: F.struct(F.lit("n").alias("k"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     b = b.withColumn("tile", F.explode(F.when(F.col("main"), others).otherwise(F.concat(mains, among))))
-    met = b.groupBy("bucket", "tile").agg(F.collect_list(F.struct("rep", "label", "n", "sketch")).alias("members"))
+    met = b.groupBy("bucket", "tile").agg(F.collect_list(F.struct("rep", "label", "n", "sketch", "failed")).alias("members"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.column(batch.schema.get_field_index("members")):
-                m = sorted(((x["n"], x["rep"], x["label"], x["sketch"]) for x in row.as_py()), key=lambda x: x[:2])
+                m = sorted(((x["n"], x["rep"], x["label"], x["sketch"], x["failed"]) for x in row.as_py()), key=lambda x: x[:2])
                 size = min(len(x[3]) for x in m)
                 n, rep, label = (np.array([x[c] for x in m], np.int64) for c in range(3))
                 bits = np.frombuffer(b"".join(_fold(x[3], size).to_bytes(size, "little") for x in m), np.uint64).reshape(len(m), -1)
-                u, v = [], []
+                us, vs, fars = [], [], []
                 for i in range(len(m) - 1):
                     stop = np.searchsorted(n, n[i] * 5 // 4, side="right")
                     far = np.bitwise_count(bits[i] ^ bits[i + 1 : stop]).sum(1, dtype=np.int64)
-                    at = i + 1 + np.flatnonzero((far * 9 <= n[i] + n[i + 1 : stop]) & (label[i + 1 : stop] != label[i]))
-                    u += np.minimum(rep[i], rep[at]).tolist()
-                    v += np.maximum(rep[i], rep[at]).tolist()
-                if u:
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    near = np.flatnonzero((far * 9 <= n[i] + n[i + 1 : stop]) & (label[i + 1 : stop] != label[i]))
+                    if len(near):
+                        us.append(np.full(len(near), i))
+                        vs.append(i + 1 + near)
+                        fars.append(far[near])
+                if not us:
+                    continue
+                pairs = _chosen(np.concatenate(us), np.concatenate(vs), np.concatenate(fars), label, rep, {(x[1], y) for x in m for y in x[4] or ()}, forest)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
     return met.select("members").mapInArrow(test, "u long, v long").distinct()
 
@@ -328,9 +366,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = _verified(own, with_sketch(with_sketch(met, "u"), "v").mapInArrow(_sketch_test, "u long, v long"), classes)
     buckets = as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep")
     if not found.where("kind = 2").isEmpty():
-        labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("label"))
-        more = _verified(own, _apart(buckets, labels, classes), classes)
-        links = links.unionAll(more)
+        failed = None
+        for step in range(ROUNDS + 1):
+            labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+            tried = keep(_apart(buckets, labels, classes, failed, forest=step < ROUNDS))
+            if tried.isEmpty():
+                break
+            more = _verified(own, tried, classes)
+            links = keep(links.unionAll(more))
+            lost = tried.join(more, ["u", "v"], "left_anti")
+            failed = keep(lost if failed is None else failed.unionAll(lost))
     edges = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     smallest = components(edges)
     out = nodes.select("id", "n").join(smallest, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

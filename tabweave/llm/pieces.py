@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 #: Python also splits at these four; the vocabulary's pattern does not.
@@ -22,9 +25,22 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Fixed value: the vocabulary's split pattern, for printable ASCII in lower case.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The same for letters below U+0250, whose classes no Unicode version has changed.
+_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_BEYOND_LATIN = re.compile("[\u0000-\u001f\u007f-\u00a0\u0250-\U0010ffff]")
 WORD_END = "</w>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as itself if it prints in Latin-1, else as the next letter from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -46,7 +62,7 @@ class Vocabulary:
         self.library = Tokenizer.from_file(path)
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.special_start = {x[0] for x in self.specials}
+        self.special_start = tuple({x[0] for x in self.specials})
         self.ends = self.library.model
         # inside a pre-token no symbol carries the word end, so inner fragments need a model without it
         spec["model"]["end_of_word_suffix"] = None
@@ -59,7 +75,7 @@ class Vocabulary:
 
     def pretokens(self, chunk: str) -> list[str | int]:
         """Pre-tokens in the vocabulary's byte letters; a special string is its id."""
-        if self.special_cut and self.special_start.intersection(chunk):
+        if any(c in chunk for c in self.special_start):
             parts = self.special_cut.split(chunk)
             if len(parts) > 1:
                 return [y for x in parts if x for y in ([self.specials[x]] if x in self.specials else self._plain(x))]
@@ -68,19 +84,25 @@ class Vocabulary:
     def _plain(self, chunk: str) -> list[str]:
         if chunk.isascii() and chunk.isprintable():
             return _ASCII.findall(chunk.lower())
+        if not _BEYOND_LATIN.search(chunk):
+            found = _LATIN.findall(unicodedata.normalize("NFC", chunk).lower())
+            return [x if x.isascii() else x.encode().decode("latin-1").translate(_LETTERS) for x in found]
         return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def fragments(self, pretoken: str) -> list[str]:
         """Cut wherever two bytes stand that stand together inside no vocabulary token."""
         joined = self.joined
+        if joined.issuperset(map(add, pretoken, pretoken[1:])):
+            return [pretoken]
         cuts = [i for i in range(1, len(pretoken)) if pretoken[i - 1 : i + 1] not in joined]
-        return [pretoken[a:b] for a, b in zip([0, *cuts], [*cuts, len(pretoken)], strict=True)] if cuts else [pretoken]
+        return [pretoken[a:b] for a, b in zip([0, *cuts], [*cuts, len(pretoken)], strict=True)]
 
     def ids(self, pretoken: str) -> list[int]:
         """Fragments encoded one by one and put together again."""
-        *inner, last = self.fragments(pretoken)
-        out = [t.id for x in inner for t in self.inner.tokenize(x)]
-        return out + [t.id for t in self.ends.tokenize(last)]
+        parts = self.fragments(pretoken)
+        if len(parts) == 1:
+            return [t.id for t in self.ends.tokenize(pretoken)]
+        return [t.id for x in parts[:-1] for t in self.inner.tokenize(x)] + [t.id for t in self.ends.tokenize(parts[-1])]
 
     def n_pieces(self, pretoken: str) -> int:
         return len(self.ends.tokenize(pretoken))
@@ -96,13 +118,18 @@ class _Known(dict):
 
     def __init__(self, words: Vocabulary):
         self.words, self.flat, self.start = words, array("i"), array("q", [0])
+        self.pieces: dict[str, list[int]] = {}
 
     def __missing__(self, chunk: str) -> int:
+        pieces = self.pieces
         for p in self.words.pretokens(chunk):
-            if isinstance(p, int):
+            if p.__class__ is int:
                 self.flat.append(p)
+            elif (found := pieces.get(p)) is not None:
+                self.flat.extend(found)
             else:
-                self.flat.extend(self.words.ids(p))
+                pieces[p] = found = self.words.ids(p)
+                self.flat.extend(found)
         self.start.append(len(self.flat))
         self[chunk] = n = len(self)
         return n
