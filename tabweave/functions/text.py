@@ -93,6 +93,7 @@ def as_timestamp(c: Column, kind: T.DataType | None = None) -> Column:
     s = strip(c)
     plain = F.replace(s, F.lit(","), F.lit(""))
     iso = F.regexp_replace(F.replace(s, F.lit(","), F.lit(".")), r"([T ]\d{2})($|[+Z-])", "$1:00$2")
+    iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})($|[+Z-])", "$1:00$2")
     zoned = F.when(s.rlike(_ISO) | s.rlike(_ISO[:-1] + "Z$"), iso.try_cast("timestamp"))
     basic = F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
     shapes = {"-": r"^\d{4}-", "/y": r"^\d{4}/", "/": r"^\d{1,2}/", "m": r"^[A-Za-z]", "d": r"^\d{1,2} [A-Za-z]"}
@@ -153,4 +154,4 @@ KEY_FORMS: dict[str, Callable[[Column], Column]] = {
 
 def number_text(n: Column) -> Column:
     """Text of a computed number: whole ones without a decimal point."""
-    return F.when((n == F.floor(n)) & (F.abs(n) < 1e18), n.cast("decimal(38,0)").cast("string")).otherwise(as_text(n, T.DoubleType()))
+    return F.when((n == F.floor(n)) & (F.abs(n) < 1e18), n.cast("decimal(38,0)").cast("string")).when(n.isNotNull(), as_text(n, T.DoubleType()))

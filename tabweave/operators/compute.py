@@ -43,11 +43,9 @@ def _binary(op: ast.operator, a: Value, b: Value) -> Value:
     x, y = a.number, b.number
     if isinstance(op, ast.Add):
         return Value(x + y, F.concat(a.text, b.text))
-    if isinstance(op, ast.Mult):
-        times = F.coalesce(F.repeat(a.text, F.when(y == F.floor(y), y).try_cast("int")), F.repeat(b.text, F.when(x == F.floor(x), x).try_cast("int")))
-        return Value(x * y, times)
     plain: dict[type, Callable[[], Column]] = {
         ast.Sub: lambda: x - y,
+        ast.Mult: lambda: x * y,
         ast.Div: lambda: F.when(y != 0, x / y),
         ast.FloorDiv: lambda: F.when(y != 0, F.floor(x / y).cast("double")),
         ast.Pow: lambda: F.pow(x, y),
@@ -104,6 +102,12 @@ def compiled(expression: str, cell: Callable[[str], Column]) -> Column:
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.USub, ast.UAdd)):
             v = walk(n.operand).number
             return _num(-v if isinstance(n.op, ast.USub) else v)
+        if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mult):
+            # a text is repeated by a whole number that the expression itself names, not by a cell
+            for text, times in ((n.left, n.right), (n.right, n.left)):
+                if isinstance(times, ast.Constant) and type(times.value) is int:
+                    v = walk(text)
+                    return Value(v.number * float(times.value), F.repeat(v.text, F.lit(times.value)))
         if isinstance(n, ast.BinOp):
             return _binary(n.op, walk(n.left), walk(n.right))
         if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and not n.keywords:

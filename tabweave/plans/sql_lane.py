@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from ..functions import text as X
 
@@ -100,6 +100,8 @@ def _sql(spark: SparkSession, text: str) -> DataFrame:
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
         return spark.sql(text)
+    except AnalysisException as e:
+        raise SqlError("sql_error", str(e).splitlines()[0]) from e
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", before)
 

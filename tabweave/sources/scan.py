@@ -127,6 +127,8 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
         delimiter, encoding = delimiter or d.delimiter, encoding or d.encoding
         if encoding.lower() in ("latin-1", "latin1"):
             encoding = "iso-8859-1"
+        if encoding.lower() not in ("utf-8", "utf-16", "iso-8859-1", "us-ascii"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Windows code pages aren't admitted
         with open(path, encoding={"windows-1252": "cp1252"}.get(encoding, encoding), newline="") as f:
             names = next(csv.reader(f, delimiter=delimiter), [])
         names = [n.lstrip("﻿") for n in names]
@@ -136,7 +138,8 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
         fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_corrupt", T.StringType())]
         df = spark.read.csv(path, schema=T.StructType(fields), header=True, enforceSchema=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         cells = [(F.coalesce(F.col(f"c{i}"), F.lit("")), n) for i, n in enumerate(names)]
-        order, bad = _order(), F.col("_corrupt")
+        # a scan must not be asked for the malformed record alone, so the mark reads the first cell too
+        order, bad = _order(), F.when(F.col("_corrupt").isNotNull(), F.concat("_corrupt", F.substring(F.coalesce("c0", F.lit("")), 1, 0)))
     last = {header(n, headers): c for c, n in cells}
     out = [(X.strip(c) if trim else c).alias(n) for n, c in last.items()]
     if source_column:

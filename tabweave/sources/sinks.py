@@ -51,6 +51,8 @@ def _line(columns: Sequence[str], delimiter: str, quoting: str) -> Column:
 def write(df: DataFrame, path: str, columns: Sequence[str] | None = None, order: Sequence[Column] = (), delimiter: str = ",", encoding: str = "utf-8", quoting: str = "minimal", header: bool = True, line_ending: str = "\n", collision: str = "replace") -> str:
     """Writes df's columns as text to `path` and gives the path; collision replace, fail or backup."""
     columns = list(columns or df.columns)
+    if Path(path).suffix.lower() == ".tsv" and delimiter == ",":
+        delimiter = "\t"
     if os.path.exists(path) and collision == "fail":
         raise OutputError(f"{path} exists")
     out = as_texts(df.orderBy(*order) if order else df, columns)
