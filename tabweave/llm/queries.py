@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": sql.OP5, "op6_mixing": sql.OP6, "op9_url_filter": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": sql.OP4, "op5_topk": sql.OP5, "op6_mixing": sql.OP6, "op9_url_filter": sql.OP9}
