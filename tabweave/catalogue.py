@@ -134,14 +134,14 @@ query("source_column", "SELECT r_regionkey AS k, r_name AS name, 'region' AS sou
     lambda t: project.union([t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.lit("region").alias("source")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit("nation").alias("source"))])
 )
 query("sort_multi", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_acctbal DESC, c_custkey) AS place FROM customer")(
-    lambda t: t.customer.select("c_custkey", F.row_number().over(_by(*sort.sort_keys(t.customer, "c_mktsegment"), *sort.sort_keys(t.customer, "c_acctbal", False), "c_custkey")).alias("place"))
+    lambda t: (lambda c: profile.numbered(c, [*sort.sort_keys(c, "c_mktsegment"), *sort.sort_keys(c, "c_acctbal", False), "c_custkey"], "place").select("c_custkey", "place"))(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"))
 )
 _MIXED = "CASE WHEN p_size % 3 = 0 THEN p_size::VARCHAR WHEN p_size % 3 = 1 THEN '2020-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') ELSE p_brand END"
 query(
     "sort_mixed_cells",
     f"SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 1 ELSE 2 END, CASE WHEN p_size % 3 = 0 THEN p_size END NULLS FIRST, "
     f"CASE WHEN p_size % 3 = 1 THEN {_MIXED} END NULLS FIRST, CASE WHEN p_size % 3 = 2 THEN lower(p_brand) END NULLS FIRST, p_partkey) AS place FROM part",
-)(lambda t: (lambda p: p.select("p_partkey", F.row_number().over(_by(*sort.sort_keys(p, "cell"), "p_partkey")).alias("place")))(
+)(lambda t: (lambda p: profile.numbered(p, [*sort.sort_keys(p, "cell"), "p_partkey"], "place").select("p_partkey", "place"))(
     t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("2020-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))).otherwise(F.col("p_brand")).alias("cell"))
 ))
 query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda t: sort.sort(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", False)], ties=["o_orderkey"]).limit(50))
@@ -352,8 +352,8 @@ query("contract_quarantine", "SELECT o_orderkey, o_custkey FROM (SELECT o_orderk
 query("infer_contract", "SELECT 'p_partkey' AS name, 'integer' AS type, true AS required, count(*) = count(DISTINCT p_partkey) AS \"unique\" FROM part UNION ALL SELECT 'p_retailprice', 'number', true, count(*) = count(DISTINCT p_retailprice) FROM part UNION ALL SELECT 'p_type', 'string', true, count(*) = count(DISTINCT p_type) FROM part")(
     lambda t: contract.inferred(t.part.select("p_partkey", "p_retailprice", "p_type"))
 )
-query("row_inspection", "SELECT c_custkey, c_name, row_number FROM (SELECT *, row_number() OVER (ORDER BY c_name DESC, c_custkey) AS row_number FROM customer) WHERE row_number = 42")(
-    lambda t: (lambda c: profile.numbered(c.withColumn("_down", -F.dense_rank().over(_by("c_name"))), ["_down", "c_custkey"]).where("row_number = 42").drop("_down"))(t.customer.select("c_custkey", "c_name"))
+query("row_inspection", "SELECT c_custkey, c_name, row_number FROM (SELECT *, row_number() OVER (ORDER BY c_name, c_custkey) AS row_number FROM customer) WHERE row_number = 42")(
+    lambda t: profile.inspect_row(t.customer.select("c_custkey", "c_name"), 42, ["c_name", "c_custkey"])
 )
 query("row_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS row_number FROM orders")(lambda t: profile.numbered(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]).drop("o_custkey"))
 query("repairs", "SELECT r_regionkey, CASE WHEN r_regionkey = (SELECT min(r_regionkey) FROM region) THEN 'repaired' ELSE r_name END AS r_name FROM region")(

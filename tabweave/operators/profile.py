@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import kept
 
 #: Texts that count as null.
 NULL_TEXTS = ("null", "NULL")
@@ -96,13 +97,14 @@ def drift(tables: dict[str, DataFrame]) -> dict:
     return {"files": files, "union_columns": union, "common_columns": common, "drift": len(union) > len(common)}
 
 
-def numbered(df: DataFrame, order_by: Sequence[str], name: str = "row_number") -> DataFrame:
+def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_number") -> DataFrame:
     """df with 1-based row numbers in the given order: ranges are sorted apart, then shifted by the rows before them."""
-    spark, order = df.sparkSession, [F.col(X.quoted(c)) for c in order_by]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(X.quoted(c)) if isinstance(c, str) else c for c in order_by]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
-    local = local.persist()
+    local = kept(local)
     before = local.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a row for each range
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_n", "_before")
 
 

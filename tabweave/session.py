@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tabweave", **conf: str) -> SparkSession:
@@ -11,3 +13,11 @@ def session(name: str = "tabweave", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder that the session names (a local one only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
