@@ -49,7 +49,7 @@ def _(t):
     good = filters.apply(t.customer, [("c_acctbal", "greater_than", "0")]).select(F.col("c_custkey").alias("o_custkey"))
     one = dedupe.distinct(joins.join(o.select("o_custkey", "o_orderkey", "o_totalprice"), good, ["o_custkey"], "semi"), ["o_custkey"], order_by=["o_orderkey"])
     top = sort.sort(one, [("o_totalprice", False)], ties=["o_orderkey"]).limit(1000)
-    return top.select("o_orderkey", "o_custkey", "o_totalprice", F.row_number().over(_by(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    return top.select("o_orderkey", "o_custkey", "o_totalprice", F.row_number().over(_by(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
 
 
 def _by(*order):
@@ -374,7 +374,7 @@ def _sql(name: str, tables: list[str], text: str, oracle: str | None = None) ->
     query(name, expected)(run)
 
 
-_sql("sql_window", ["orders"], "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM input_0")
+_sql("sql_window", ["orders"], "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM input_0")
 _sql("sql_grouping_sets", ["orders"], "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM input_0 GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 _sql("sql_cube", ["orders"], "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM input_0 GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 _sql("sql_rollup", ["lineitem"], "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS q FROM input_0 GROUP BY ROLLUP (l_returnflag, l_linestatus)")
