@@ -8,8 +8,8 @@ Sketches. In the band of sets of 2^L to 2^(L+1) - 1 shingles, each shingle belon
 one of 2^(L+1) blocks, and a block is the XOR of its shingles' hashes: a shingle in
 one set only changes one block, so the number of unequal blocks is at most the
 symmetric difference. A set near a band's lower end also takes part in the band above.
-Folded to one bit a block, the same parities are a bit sketch whose Hamming distance
-is at most the symmetric difference.
+The same parities of finer blocks, one bit each, are a bit sketch whose Hamming
+distance is at most the symmetric difference.
 
 Pigeonhole join. Blocks are put in an order that is the same for all sets (empty ones
 last). If at most d blocks differ, the first common one is among the first d + 1 of
@@ -51,10 +51,12 @@ HELD, DOCS_A_PART = 2_000_000, 1000
 PAIRS_UP_TO, LOCAL = 6, 64
 #: Members of a tile of a large bucket.
 TILE = 1024
+#: Bytes of the sketches that large buckets are tested with first.
+SMALL = 256
 #: Rows up to which an id table is broadcast (about 16 bytes a row).
 BROADCAST_IDS = 2_000_000
 #: Rounds in which tiles give spanning forests only.
-ROUNDS = 4
+ROUNDS = 1
 
 
 def bands(n: int) -> list[int]:
@@ -76,8 +78,12 @@ def keys_of(s: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """Parity of each of 2^(L+1) blocks (64 at least), by bits of the hash that the keys don't use."""
-    bits = max(64, 2 << (len(s).bit_length() - 1))
+    """Parities of blocks, four to eight a shingle (half of that from 512 shingles on), by bits of the hash that the keys don't use.
+
+    The more blocks, the nearer the Hamming distance comes to the symmetric difference.
+    """
+    level = len(s).bit_length() - 1
+    bits = max(64, min(8 << level, max(2048, 4 << level)))
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -92,6 +98,11 @@ def _fold(sketch: bytes, size: int) -> int:
     return x
 
 
+def small(sketch: bytes) -> bytes:
+    """The sketch folded to SMALL bytes at most: what large buckets are tested with first."""
+    return _fold(sketch, SMALL).to_bytes(SMALL, "little") if len(sketch) > SMALL else sketch
+
+
 def can_link(n1: int, s1: bytes, n2: int, s2: bytes) -> bool:
     if 10 * min(n1, n2) < 8 * max(n1, n2):
         return False
@@ -198,7 +209,7 @@ def _map(path_parts: int):
     return run
 
 
-_FOUND = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary"
+_FOUND = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary, small binary"
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -223,6 +234,7 @@ def _meet(t: pa.Table) -> pa.Table:
             "h1": col(nodes[:, 2], none),
             "h2": col(nodes[:, 3], none),
             "sketch": pa.array([x or None for x in sketches] + [None] * (n_p + n_b), pa.binary()),
+            "small": pa.array([small(x) if x else None for x in sketches] + [None] * (n_p + n_b), pa.binary()),
         }
     )
 
@@ -273,6 +285,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return keep(both.mapInArrow(link, "u long, v long").distinct())
 
 
+def _near(n: np.ndarray, label: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and Hamming distances of the pairs of two labels that could link; n is in order."""
+    if len(n) <= 128:
+        a, b = np.triu_indices(len(n), 1)
+        good = (label[a] != label[b]) & (10 * n[a] >= 8 * n[b])
+        a, b = a[good], b[good]
+        far = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        good = far * 9 <= n[a] + n[b]
+        return a[good], b[good], far[good]
+    out = []
+    for i in range(len(n) - 1):
+        stop = np.searchsorted(n, n[i] * 5 // 4, side="right")
+        far = np.bitwise_count(bits[i] ^ bits[i + 1 : stop]).sum(1, dtype=np.int64)
+        at = np.flatnonzero((far * 9 <= n[i] + n[i + 1 : stop]) & (label[i + 1 : stop] != label[i]))
+        out.append((np.full(len(at), i), i + 1 + at, far[at]))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
 def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray, rep: np.ndarray, failed: set[tuple[int, int]], forest: bool) -> list[tuple[int, int]]:
     """The pairs as (smaller, larger) ids, without the failed; forest: nearest first, and only those that join two groups."""
     above: dict[int, int] = {}
@@ -299,21 +329,16 @@ def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray, re
 
 
 def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: DataFrame | None, forest: bool) -> DataFrame:
-    """Pairs (u, v) that share a large bucket, are not yet together, haven't failed, and pass the sketch test.
+    """(bucket, u, v): pairs that share a large bucket, are not yet together, haven't failed, and pass the sketch test.
 
     forest: of each tile only the nearest ones that would join its groups.
     """
     b = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("bucket", "rep", "label").distinct()
     b = keep(b)
-    mixed = b.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").drop("hi")
     # the label most likely to be a large group's is its smallest: its members needn't meet each other
-    b = b.join(mixed, "bucket").withColumn("main", F.col("label") == F.col("lo"))
-    sizes = b.groupBy("bucket").agg(F.count_if(F.col("main")).alias("km"), F.count_if(~F.col("main")).alias("kn"))
-    b = b.join(sizes, "bucket").join(classes.select("rep", "n", "sketch"), "rep")
-    if failed is None:
-        b = b.withColumn("failed", F.lit(None).cast("array<long>"))
-    else:
-        b = b.join(failed.groupBy(F.col("u").alias("rep")).agg(F.collect_list("v").alias("failed")), "rep", "left")
+    count = b.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = count.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("k"), F.min_by("n", "label").alias("km")).where("lo <> hi")
+    b = b.join(mixed.withColumn("kn", F.col("k") - F.col("km")), "bucket").withColumn("main", F.col("label") == F.col("lo"))
     tiles = lambda c: F.ceil(F.col(c) / TILE).cast("long")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), tiles("km")).otherwise(tiles("kn")))
     b = b.withColumn("tm", tiles("km")).withColumn("tn", tiles("kn")).withColumn("own", own)
@@ -321,31 +346,37 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
     others = F.transform(F.sequence(F.lit(0), F.col("tn") - 1), lambda j: F.struct(F.lit("m").alias("k"), F.col("own").alias("i"), j.alias("j")))
     mains = F.transform(F.sequence(F.lit(0), F.col("tm") - 1), lambda i: F.struct(F.lit("m").alias("k"), i.alias("i"), F.col("own").alias("j")))
     among = F.transform(F.sequence(F.lit(0), F.col("tn") - 1), lambda j: F.struct(F.lit("n").alias("k"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    b = b.withColumn("tile", F.explode(F.when(F.col("main"), others).otherwise(F.concat(mains, among))))
-    met = b.groupBy("bucket", "tile").agg(F.collect_list(F.struct("rep", "label", "n", "sketch", "failed")).alias("members"))
+    b = b.withColumn("tile", F.explode(F.when(F.col("main"), others).otherwise(F.concat(mains, among)))).select("bucket", "tile", "rep", "label")
+    if failed is None:
+        about = classes.select("rep", "n", "small", F.lit(None).cast("array<long>").alias("failed"))
+    else:
+        about = classes.select("rep", "n", "small").join(failed.groupBy(F.col("u").alias("rep")).agg(F.collect_list("v").alias("failed")), "rep", "left")
+    # sketches come last, so that they travel once
+    b = b.join(about, "rep")
+    met = b.groupBy("bucket", "tile").agg(F.collect_list(F.struct("rep", "label", "n", "small", "failed")).alias("members"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column(batch.schema.get_field_index("members")):
-                m = sorted(((x["n"], x["rep"], x["label"], x["sketch"], x["failed"]) for x in row.as_py()), key=lambda x: x[:2])
-                size = min(len(x[3]) for x in m)
-                n, rep, label = (np.array([x[c] for x in m], np.int64) for c in range(3))
-                bits = np.frombuffer(b"".join(_fold(x[3], size).to_bytes(size, "little") for x in m), np.uint64).reshape(len(m), -1)
-                us, vs, fars = [], [], []
-                for i in range(len(m) - 1):
-                    stop = np.searchsorted(n, n[i] * 5 // 4, side="right")
-                    far = np.bitwise_count(bits[i] ^ bits[i + 1 : stop]).sum(1, dtype=np.int64)
-                    near = np.flatnonzero((far * 9 <= n[i] + n[i + 1 : stop]) & (label[i + 1 : stop] != label[i]))
-                    if len(near):
-                        us.append(np.full(len(near), i))
-                        vs.append(i + 1 + near)
-                        fars.append(far[near])
-                if not us:
-                    continue
-                pairs = _chosen(np.concatenate(us), np.concatenate(vs), np.concatenate(fars), label, rep, {(x[1], y) for x in m for y in x[4] or ()}, forest)
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
-
-    return met.select("members").mapInArrow(test, "u long, v long").distinct()
+            members = batch.column(1)
+            offsets, flat = members.offsets.to_numpy() - members.offsets[0].as_py(), members.flatten()
+            n, rep, label = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "rep", "label"))
+            sketches, lost = flat.field("small").to_pylist(), flat.field("failed")
+            lost = lost.to_pylist() if lost.null_count < len(lost) else None
+            found = [[], [], []]
+            for k, bucket in enumerate(batch.column(0).to_pylist()):
+                at = offsets[k] + np.argsort(n[offsets[k] : offsets[k + 1]], kind="stable")
+                own, size = [sketches[i] for i in at], min(len(sketches[i]) for i in at)
+                bits = np.frombuffer(b"".join(x if len(x) == size else _fold(x, size).to_bytes(size, "little") for x in own), np.uint64).reshape(len(own), -1)
+                a, b, far = _near(n[at], label[at], bits)
+                if len(a):
+                    gone = {(int(rep[i]), y) for i in at for y in lost[i] or ()} if lost else set()
+                    pairs = _chosen(a, b, far, label[at], rep[at], gone, forest)
+                    found[0] += [bucket] * len(pairs)
+                    found[1] += [p[0] for p in pairs]
+                    found[2] += [p[1] for p in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["bucket", "u", "v"])
+
+    return met.select("bucket", "members").mapInArrow(test, "bucket long, u long, v long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,28 +385,34 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = df.where("id is not null")
     parts = docs.count() // DOCS_A_PART + 1
     found = keep(own.mapInArrow(_map(parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))
-    nodes = found.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2", "sketch")
-    classes = keep(nodes.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("sketch").alias("sketch")))
-    same = keep(nodes.where("n > 0").join(classes.drop("sketch"), ["n", "h1", "h2"]).select("id", "rep").distinct())
+    nodes = found.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2", "sketch", "small")
+    classes = keep(nodes.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("sketch").alias("sketch"), F.max("small").alias("small")))
+    same = keep(nodes.where("n > 0").join(classes.drop("sketch", "small"), ["n", "h1", "h2"]).select("id", "rep").distinct())
     # only ids that have keys of their own come up in pairs and buckets
     reps = same.where("id <> rep")
     as_rep = lambda t, c: t.join(reps.select(F.col("id").alias(c), F.col("rep").alias("class_of")), c, "left").withColumn(c, F.coalesce("class_of", c)).drop("class_of")
     met = as_rep(as_rep(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "u"), "v")
     met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     with_sketch = lambda t, c: t.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    links = _verified(own, with_sketch(with_sketch(met, "u"), "v").mapInArrow(_sketch_test, "u long, v long"), classes)
+    tested = lambda t: with_sketch(with_sketch(t, "u"), "v").mapInArrow(_sketch_test, "u long, v long")
+    links = _verified(own, tested(met), classes)
     buckets = as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep")
     if not found.where("kind = 2").isEmpty():
         failed = None
         for step in range(ROUNDS + 1):
             labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("label"))
             tried = keep(_apart(buckets, labels, classes, failed, forest=step < ROUNDS))
-            if tried.isEmpty():
+            pairs = keep(tried.select("u", "v").distinct())
+            if pairs.isEmpty():
                 break
-            more = _verified(own, tried, classes)
+            more = _verified(own, tested(pairs), classes)
             links = keep(links.unionAll(more))
-            lost = tried.join(more, ["u", "v"], "left_anti")
-            failed = keep(lost if failed is None else failed.unionAll(lost))
+            lost = keep(pairs.join(more, ["u", "v"], "left_anti"))
+            if step == ROUNDS or lost.isEmpty():
+                break
+            # where all pairs of a bucket's forest link, nothing of it is apart any more
+            buckets = keep(buckets.join(tried.join(lost, ["u", "v"]).select("bucket").distinct(), "bucket"))
+            failed = lost if failed is None else keep(failed.unionAll(lost))
     edges = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     smallest = components(edges)
     out = nodes.select("id", "n").join(smallest, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -392,10 +429,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns: one row of each component, that of its smallest key; rows with a null key stay."""
     found = keep(join(docs, key, text))
-    gone = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("gone")).distinct()
-    out = docs.join(_beside(keep(gone)), docs[key] == F.col("gone"), "left_anti")
-    twice = keep(found.where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice"))
+    gone = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone_key")).distinct()
+    out = docs.join(_beside(keep(gone)), docs[key] == F.col("_gone_key"), "left_anti")
+    twice = keep(found.where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).groupBy(F.col(key).alias("_twice_key")).count().where("count > 1").select("_twice_key"))
     if twice.isEmpty():
         return out
-    again = out.join(_beside(twice), out[key] == F.col("twice"), "left_semi").dropDuplicates([key])
-    return out.join(_beside(twice), out[key] == F.col("twice"), "left_anti").unionAll(again)
+    again = out.join(_beside(twice), out[key] == F.col("_twice_key"), "left_semi").dropDuplicates([key])
+    return out.join(_beside(twice), out[key] == F.col("_twice_key"), "left_anti").unionAll(again)
