@@ -89,21 +89,22 @@ def cutoffs(measured: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     return keep(out.select("of", "source_size", "target", "epochs", F.greatest("whole", "part").alias("cutoff")))
 
 
-def beside(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+def beside(rows: DataFrame, plan: DataFrame, source: str, of: str = "of") -> DataFrame:
     small = plan.count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(plan) if small else plan, rows[source].eqNullSafe(plan["of"]))
+    return rows.join(F.broadcast(plan) if small else plan, rows[source].eqNullSafe(plan[of]))
 
 
 def apply(measured: DataFrame, cuts: DataFrame, source: str = "source") -> DataFrame:
     """Adds source_size, target, copies (times that the mix holds the document) and taken (its words times copies)."""
-    again = F.when(F.col("mix_key") <= F.col("cutoff"), 1).otherwise(0)
-    out = beside(measured, cuts, source).withColumn("copies", F.col("epochs") + again).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.drop("of", "epochs", "cutoff")
+    plan = cuts.select(F.col("of").alias("_mix_of"), "source_size", "target", F.col("epochs").alias("_mix_epochs"), F.col("cutoff").alias("_mix_cutoff"))
+    again = F.when(F.col("mix_key") <= F.col("_mix_cutoff"), 1).otherwise(0)
+    out = beside(measured, plan, source, "_mix_of").withColumn("copies", F.col("_mix_epochs") + again)
+    return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_mix_of", "_mix_epochs", "_mix_cutoff")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix holds them: each row as many times as `copies` says."""
-    columns, measured = docs.columns, measure(docs)
+    """docs as the mix holds them: each row, all its own columns, as many times as `copies` says."""
+    measured = measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), "doc_id", "source", "text"))
     cuts = cutoffs(measured.select("source", "size", "mix_key"), **options)
     out = apply(measured, cuts).where("copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    return out.select("_mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_mix_row.*")

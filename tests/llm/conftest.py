@@ -19,7 +19,7 @@ def make_docs(spark):
 
 
 #: Columns that operators use inside or give out, as extra columns of an input.
-CLASHES = ["id", "key", "ids", "decoded", "uid", "part", "size", "target", "copies", "taken", "mix_key", "score", "words", "found", "gone", "start", "end", "component_id", "kind"]
+CLASHES = ["id", "key", "ids", "decoded", "uid", "part", "size", "target", "copies", "taken", "mix_key", "score", "words", "found", "gone", "start", "end", "component_id", "kind", "of", "epochs", "cutoff", "rest", "ranges", "range", "span_of", "twice"]
 
 
 @pytest.fixture

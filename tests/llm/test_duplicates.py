@@ -54,21 +54,23 @@ def corpus():
 def test_components_are_those_of_all_pairs(make_docs, clashes, monkeypatch):
     rows = corpus()
     want = brute(rows)
-    for local, tile, rounds in ((64, 1024, 2), (2, 4, 1), (3, 5, 0)):
+    for local, tile, steps in ((64, 1024, jaccard_join.STEPS), (2, 4, ((True, 2), (False, 1))), (3, 5, ((False, 1),))):
         monkeypatch.setattr(jaccard_join, "LOCAL", local)
         monkeypatch.setattr(jaccard_join, "TILE", tile)
-        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard_join, "STEPS", steps)
         got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(make_docs(rows, [c for c in clashes if c != "component_id"])).collect()}
         assert got == want
 
 
-def test_nulls_ties_and_empty_tables(make_docs):
+def test_nulls_ties_and_empty_tables(make_docs, clashes):
     rows = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (5, "A B C D E F"), (6, "x " * 30000)]
     out = sorted(((r[0] or 0), r[1], r[2] or 0) for r in jaccard_join.join(make_docs(rows)).collect())
     assert out == [(0, 2, 0), (1, 0, 1), (2, 0, 2), (3, 2, 3), (3, 2, 3), (5, 2, 3), (6, 1, 6)]
     assert jaccard_join.join(make_docs([])).count() == 0
-    kept = jaccard_join.deduplicated(make_docs(rows))
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 6] and kept.columns == make_docs([]).columns
+    for extra in ([], clashes):
+        docs = make_docs(rows, extra)
+        kept = jaccard_join.deduplicated(docs)
+        assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 6] and kept.columns == docs.columns
 
 
 @settings(max_examples=60, deadline=None)

@@ -75,6 +75,7 @@ def test_mix(make_docs, clashes):
     again = {r["doc_id"]: r["taken"] for r in mixing.apply(measured, mixing.cutoffs(measured)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in out}
     copies = mixing.mixed(docs)
+    assert {r[0] for r in copies.select("size").distinct().collect()} == {"clash"}
     assert copies.columns == docs.columns and copies.agg(F.sum(F.size(F.split("text", " ")))).first()[0] >= sum(taken.values()) - 1
 
 
