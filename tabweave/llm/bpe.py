@@ -37,7 +37,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             flat, offsets = e.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
 
@@ -51,7 +51,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = vocabulary(path).strings
-        for batch in slices(batches, ids):
+        for batch in slices(batches, ids, 2 << 20):
             rows = batch.column(batch.schema.get_field_index(ids))
             yield _with(batch, decoded, pa.array([" ".join([strings[i] for i in x.values.to_pylist()]) if x.is_valid else "" for x in rows], pa.string()))
 
