@@ -18,10 +18,13 @@ either set, so those are all the keys a set needs, d being a quarter of its size
 Candidates. Sets with a common key meet in a bucket. A small bucket gives all its
 pairs; a large one gives pairs with its first member only, and its members are kept.
 Candidates whose sizes and Hamming distance allow a link are verified on the whole
-sets. Large buckets whose members have not all come together by then give the pairs
-that are still apart, cut into tiles of bounded size; those are sketch-tested and
-verified too. So no link that could join two groups is left out, while a group of
-near copies never gives all its pairs.
+sets. Large buckets whose members have not all come together by then are cut into
+tiles of bounded size and gone through in three steps: a part of the buckets gives
+the nearest pairs that would join a tile's groups into one (a spanning forest by
+Hamming distance); a part gives all pairs that are still apart; then all buckets give
+what is still apart and hasn't failed. Texts that link share most of their buckets, so
+the first steps find nearly all, and a group of near copies never gives all its pairs;
+the last step leaves out no link that could join two groups.
 
 Keys travel packed, some thousands a row. Equal sets within a task are one set from
 the start, and later all equal sets (128-bit digest) are one class.
@@ -46,7 +49,7 @@ from .graph import components
 from .shingles import mix, sets
 
 #: Keys that a task holds before it sends them on, and documents for each partition of the keys.
-HELD, DOCS_A_PART = 2_000_000, 1000
+HELD, DOCS_A_PART = 600_000, 1000
 #: Buckets up to here give all their pairs; runs above LOCAL within a task are cut to their first member.
 PAIRS_UP_TO, LOCAL = 6, 64
 #: Members of a tile of a large bucket.
@@ -55,8 +58,8 @@ TILE = 1024
 SMALL = 256
 #: Rows up to which an id table is broadcast (about 16 bytes a row).
 BROADCAST_IDS = 2_000_000
-#: Rounds in which tiles give spanning forests only.
-ROUNDS = 1
+#: Steps over the large buckets: spanning forests or all pairs, and one in how many buckets. The last one is whole.
+STEPS = ((True, 8), (False, 8), (False, 1))
 
 
 def bands(n: int) -> list[int]:
@@ -261,28 +264,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
             found = sets(b.column(b.schema.get_field_index("text")).to_pylist())
             d = np.array([digest(s) for s in found], np.int64).reshape(-1, 2)
             same = (d[:, 0] == b.column(b.schema.get_field_index("h1")).to_numpy()) & (d[:, 1] == b.column(b.schema.get_field_index("h2")).to_numpy())
-            out = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "s"])
+            ends = np.cumsum([0, *map(len, found)])
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            out = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "s"])
             yield out.filter(pa.array(same))
 
     def sets_of(which: DataFrame) -> DataFrame:
         own = docs.join(_beside(which.withColumnRenamed("rep", "id")), "id").select("id", "h1", "h2", "text")
-        return own.mapInArrow(shingled, "id long, s binary")
+        return own.mapInArrow(shingled, "id long, s array<long>")
 
     # each right-hand set goes to its pair's left id once; left ids are few, and a hot one is split by the join
     few = _beside(pairs)
     moved = sets_of(right).withColumnRenamed("s", "sv").join(few, F.col("id") == F.col("v")).drop("id")
     both = moved.join(sets_of(left).withColumnsRenamed({"id": "u", "s": "su"}), "u")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(b.schema.get_field_index("su")), b.column(b.schema.get_field_index("sv")), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return keep(both.mapInArrow(link, "u long, v long").distinct())
+    # row by row in the JVM: batches of such pairs would hold many whole sets at once
+    common = F.size(F.array_intersect("su", "sv"))
+    return keep(both.where(100 * common >= 80 * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct())
 
 
 def _near(n: np.ndarray, label: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,7 +327,7 @@ def _chosen(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray, re
 
 
 def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: DataFrame | None, forest: bool) -> DataFrame:
-    """(bucket, u, v): pairs that share a large bucket, are not yet together, haven't failed, and pass the sketch test.
+    """(u, v): pairs that share a large bucket, are not yet together, haven't failed, and pass the sketch test.
 
     forest: of each tile only the nearest ones that would join its groups.
     """
@@ -357,26 +355,23 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column(1)
+            members = batch.column(0)
             offsets, flat = members.offsets.to_numpy() - members.offsets[0].as_py(), members.flatten()
             n, rep, label = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "rep", "label"))
             sketches, lost = flat.field("small").to_pylist(), flat.field("failed")
             lost = lost.to_pylist() if lost.null_count < len(lost) else None
-            found = [[], [], []]
-            for k, bucket in enumerate(batch.column(0).to_pylist()):
+            found: dict[tuple[int, int], None] = {}
+            for k in range(batch.num_rows):
                 at = offsets[k] + np.argsort(n[offsets[k] : offsets[k + 1]], kind="stable")
                 own, size = [sketches[i] for i in at], min(len(sketches[i]) for i in at)
                 bits = np.frombuffer(b"".join(x if len(x) == size else _fold(x, size).to_bytes(size, "little") for x in own), np.uint64).reshape(len(own), -1)
                 a, b, far = _near(n[at], label[at], bits)
                 if len(a):
                     gone = {(int(rep[i]), y) for i in at for y in lost[i] or ()} if lost else set()
-                    pairs = _chosen(a, b, far, label[at], rep[at], gone, forest)
-                    found[0] += [bucket] * len(pairs)
-                    found[1] += [p[0] for p in pairs]
-                    found[2] += [p[1] for p in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["bucket", "u", "v"])
+                    found.update(dict.fromkeys(_chosen(a, b, far, label[at], rep[at], gone, forest)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return met.select("bucket", "members").mapInArrow(test, "bucket long, u long, v long")
+    return met.select("members").mapInArrow(test, "u long, v long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,23 +391,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     with_sketch = lambda t, c: t.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
     tested = lambda t: with_sketch(with_sketch(t, "u"), "v").mapInArrow(_sketch_test, "u long, v long")
     links = _verified(own, tested(met), classes)
-    buckets = as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep")
+    buckets = keep(as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep").distinct())
     if not found.where("kind = 2").isEmpty():
-        failed = None
-        for step in range(ROUNDS + 1):
-            labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("label"))
-            tried = keep(_apart(buckets, labels, classes, failed, forest=step < ROUNDS))
-            pairs = keep(tried.select("u", "v").distinct())
+        failed = labels = None
+        for step, (forest, one_in) in enumerate(STEPS):
+            if labels is None:
+                labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+            some = buckets.where(F.pmod(F.xxhash64("bucket", F.lit(step)), F.lit(one_in)) == 0) if one_in > 1 else buckets
+            pairs = keep(_apart(some, labels, classes, failed, forest))
             if pairs.isEmpty():
-                break
+                continue
             more = _verified(own, tested(pairs), classes)
-            links = keep(links.unionAll(more))
-            lost = keep(pairs.join(more, ["u", "v"], "left_anti"))
-            if step == ROUNDS or lost.isEmpty():
-                break
-            # where all pairs of a bucket's forest link, nothing of it is apart any more
-            buckets = keep(buckets.join(tried.join(lost, ["u", "v"]).select("bucket").distinct(), "bucket"))
-            failed = lost if failed is None else keep(failed.unionAll(lost))
+            if not more.isEmpty():
+                links, labels = keep(links.unionAll(more)), None
+            lost = pairs.join(more, ["u", "v"], "left_anti")
+            failed = keep(lost if failed is None else failed.unionAll(lost))
     edges = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     smallest = components(edges)
     out = nodes.select("id", "n").join(smallest, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -28,7 +28,7 @@ class _Words(dict):
 _words = _Words()
 
 
-def word_hashes(texts: list[str], held: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], held: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and each text's number of words."""
     if len(_words) > held:
         _words.clear()
