@@ -170,3 +170,31 @@ def test_no_passages_in_empty_tables(make_docs):
 def test_copies_of_a_key_are_one_text(make_docs):
     t = text(words(80, 3))
     assert passages.repeated(make_docs([(1, t), (1, t)])).count() == 0
+
+
+def test_passages_of_a_chain_with_unlike_words_between(make_docs):
+    one, long = words(60, 1), words(120, 3)
+    rows, expected = [], {}
+    for g, gap in enumerate((50, 100, 200, 400)):
+        a, b = [[f"{side}{g}_{i}" for i in range(gap)] for side in "xy"]
+        tag = [f"t{g}_{i}" for i in range(60)]
+        rows += [(10 * g, " ".join([*one[: 30 - g], *tag, *a, *tag[::-1]])), (10 * g + 1, " ".join([*tag, *b, *tag[::-1]]))]
+        expected[10 * g + 1] = " ".join(b)
+    rows += [(90, " ".join(long)), (91, " ".join([*long[:60], *(f"z{i}" for i in range(40)), *long[60:]]))]
+    left = {r["doc_id"]: r["text"].strip() for r in passages.removed(make_docs(rows)).collect()}
+    assert {k: left[k] for k in expected} == expected
+    assert left[91] == " ".join(f"z{i}" for i in range(40)) and left[90] == " ".join(long)
+
+
+@given(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 6), max_size=40))
+def test_steps_are_a_shortest_edit(a, b):
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    for limit in (passages.STEPS, 1):
+        old, passages.STEPS = passages.STEPS, limit
+        try:
+            s = passages.steps(a, b)
+        finally:
+            passages.STEPS = old
+        assert s[:, 0].sum() == len(a) and s[:, 1].sum() == len(b) and (1 - s[:, 2]).sum() == passages.edit_distance(a, b)
+        at, bt = np.cumsum(s[:, 0]) - 1, np.cumsum(s[:, 1]) - 1
+        assert all(a[at[i]] == b[bt[i]] for i in np.flatnonzero(s[:, 2]))
