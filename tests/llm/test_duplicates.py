@@ -198,3 +198,30 @@ def test_steps_are_a_shortest_edit(a, b):
         assert s[:, 0].sum() == len(a) and s[:, 1].sum() == len(b) and (1 - s[:, 2]).sum() == passages.edit_distance(a, b)
         at, bt = np.cumsum(s[:, 0]) - 1, np.cumsum(s[:, 1]) - 1
         assert all(a[at[i]] == b[bt[i]] for i in np.flatnonzero(s[:, 2]))
+
+
+def test_both_copies_in_one_text(make_docs):
+    p = words(60, 76)
+    rows = [(1, text(p, words(40, 77))), (2, text(p[20:40], words(30, 78), p, words(30, 79), p, words(10, 80)))]
+    left = {r["doc_id"]: r["text"] for r in passages.removed(make_docs(rows)).collect()}
+    assert " ".join(p[45:]) not in left[2] and " ".join(p[:15]) not in left[2] and left[1] == rows[0][1]
+
+
+def test_recall_of_changed_copies():
+    r = random.Random(5)
+    fresh = lambda n: [f"f{r.getrandbits(60)}" for _ in range(n)]
+    for alike, least_found in ((0.95, 0.99), (0.9, 0.97), (0.85, 0.95), (0.8, 0.9)):
+        found = 0
+        for _ in range(100):
+            p = fresh(50)
+            q = list(p)
+            # the ends stay, so that all 50 words are the passage
+            for k in r.sample(range(1, 49), round(50 * (1 - alike))):
+                q[k] = fresh(1)[0]
+            a, b = text(fresh(50), p, fresh(50)), text(fresh(70), q, fresh(40))
+            (ka, pa), (kb, pb) = passages.seeds([a, b])
+            first = dict(zip(ka.tolist()[::-1], pa.tolist()[::-1], strict=True))
+            met = np.array([(y, first[k]) for k, y in zip(kb.tolist(), pb.tolist(), strict=True) if k in first]).reshape(-1, 2)
+            wa, wb = (shingles.word_hashes([t])[0] for t in (a, b))
+            found += any(passages.passages(wb, s, e, wa, os, oe) for s, e, os, oe in passages.chains(passages.thinned(met[:, 0], met[:, 1])))
+        assert found >= 100 * least_found, (alike, found)
