@@ -200,6 +200,15 @@ def test_steps_are_a_shortest_edit(a, b):
         assert all(a[at[i]] == b[bt[i]] for i in np.flatnonzero(s[:, 2]))
 
 
+def test_exact_copy_of_a_passage_whose_halves_have_earlier_holders(make_docs):
+    p, before = words(60, 70), words(40, 71)
+    # windows of the passage scatter over earlier texts, none with 50 words of it
+    rows = [(i, text(words(30, 80 + i), p[i : i + 12], words(30, 180 + i))) for i in range(49)]
+    rows += [(100, text(words(30, 72), p[:30])), (101, text(p[30:], words(30, 73))), (102, text(p, words(50, 74))), (103, text(before, p, words(35, 75)))]
+    found = {(r["doc_id"], r["source"]): r["n_words"] for r in passages.repeated(make_docs(rows)).collect()}
+    assert found[103, 102] >= 60 and {k[0] for k in found} == {103}
+
+
 def test_both_copies_in_one_text(make_docs):
     p = words(60, 76)
     rows = [(1, text(p, words(40, 77))), (2, text(p[20:40], words(30, 78), p, words(30, 79), p, words(10, 80)))]
