@@ -232,7 +232,7 @@ query("dedupe_aggregate_concat", "SELECT o_custkey, string_agg(o_orderkey::VARCH
 query("dedupe_preview", "SELECT user_id, event_type, count(*) AS n_rows, min(event_id) AS kept FROM events GROUP BY 1, 2 HAVING count(*) > 1")(
     lambda t: dedupe.preview(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"]).withColumn("kept", F.col("kept.event_id"))
 )
-query("fuzzy_dedupe")(lambda t: dedupe.fuzzy(_parts(t).select("p_partkey", "p_name", "p_brand", "p_type"), ["p_name"], 90, ["p_partkey"], ["p_brand", "p_type"]))
+query("fuzzy_dedupe")(lambda t: dedupe.fuzzy(_parts(t).select("p_partkey", "p_name", "p_brand", "p_type"), ["p_name"], 90, ["p_partkey"]))
 
 # --- joins and merge ------------------------------------------------------------------------------------------------
 

@@ -6,14 +6,16 @@ so a key that a third of all rows carry costs no task more than its share.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.similarity import score
+from ..functions.similarity import Matcher
+from ..session import kept
 from .folds import folded
 
 
@@ -58,32 +60,53 @@ def preview(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], case
     return groups.withColumnsRenamed({f"_key{i}": c for i, c in enumerate(columns)})
 
 
-def fuzzy(df: DataFrame, columns: Sequence[str], threshold: float = 90, order_by: Sequence[str] = (), block_by: Sequence[str] = (), block_rows: int = 50_000) -> DataFrame:
+def fuzzy(df: DataFrame, columns: Sequence[str], threshold: float = 90, order_by: Sequence[str] = (), block_by: Sequence[str] = (), block_rows: int | None = None, round_rows: int = 4000) -> DataFrame:
     """Rows that no earlier kept row of their block resembles; greedy in order, as a first-come clustering is.
 
-    Rows meet only within a block (`block_by`, case ignored). Without blocks all rows are
-    one group, which holds for as many rows as one task does; more than `block_rows`
-    rows in a block raise an error rather than run without end.
+    Rows meet only within a block (`block_by`, case ignored); without, all rows do. Round by
+    round the first `round_rows` rows still open are gone through in order by one task, and
+    every other open row is scored against those kept there, by all tasks. So the order of
+    keeping holds, and work goes with rows times kept rows, never with a group's square.
+    If `block_rows` is given, more rows in a block raise an error.
     """
-    order, kinds, names = _order(order_by or df.columns), df.schema, df.columns
+    order, names = _order(order_by or df.columns), df.columns
     block = F.concat_ws("\x1f", *[key_of(df, c) for c in block_by]) if block_by else F.lit("")
-    keyed = df.withColumn("_block", block).withColumn("_text", F.concat_ws(" ", *[X.text(df, c) for c in columns])).withColumn("_order", F.to_json(order)).withColumn("_at", F.row_number().over(_by_block(order)))
-    largest = keyed.agg(F.max("_at")).first()[0] or 0
-    if largest > block_rows:
-        raise ValueError(f"a block has {largest} rows, more than {block_rows}; name columns to block by")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, rows = pdf.sort_values("_at"), [], []
-        for i, t in enumerate(pdf["_text"]):
-            if not any(score(t, k) >= threshold for k in kept):
-                kept.append(t)
-                rows.append(i)
-        return pdf.iloc[rows][names]
-
-    return keyed.groupBy("_block").applyInPandas(greedy, kinds)
-
-
-def _by_block(order: Column):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("_block").orderBy(order)
+    keyed = df.select(F.struct(*[F.col(X.quoted(c)) for c in names]).alias("_row"), block.alias("_block"), F.concat_ws(" ", *[X.text(df, c) for c in columns]).alias("_text"), order.alias("_order"))
+    if block_rows is not None:
+        largest = keyed.groupBy("_block").count().agg(F.max("count")).first()[0] or 0
+        if largest > block_rows:
+            raise ValueError(f"a block has {largest} rows, more than {block_rows}; name columns to block by")
+    # of equal texts only the first can be kept
+    firsts = kept(keyed.groupBy("_block", "_text").agg(F.min_by("_row", "_order").alias("_row"), F.min("_order").alias("_order")).withColumn("_id", F.monotonically_increasing_id()))
+    undecided, chosen = firsts.select("_id", "_block", "_text", "_order"), []
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Matcher(threshold)
+        for b in batches:
+            use = []
+            for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                use.append(not known.meets(k, t))
+                if use[-1]:
+                    known.add(k, t)
+            yield b.filter(pa.array(use, pa.bool_()))
+
+    while True:
+        head = kept(undecided.orderBy("_order", "_id").limit(round_rows).select("_id", "_block", "_text", "_order").coalesce(1))
+        if head.isEmpty():
+            break
+        new = kept(head.select("_id", "_block", "_text").mapInArrow(greedy, "_id long, _block string, _text string"))
+        chosen.append(new.select("_id"))
+        reps = [(r["_block"], r["_text"]) for r in new.collect()]
+        rest = undecided.join(F.broadcast(head.select("_id")), "_id", "left_anti").select("_id", "_block", "_text", "_order")
+
+        def unlike(batches: Iterator[pa.RecordBatch], reps: list[tuple[str, str]] = reps) -> Iterator[pa.RecordBatch]:
+            known = Matcher(threshold)
+            for k, t in reps:
+                known.add(k, t)
+            for b in batches:
+                yield b.filter(pa.array([not known.meets(k, t) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+        undecided = kept(rest.mapInArrow(unlike, rest.schema))
+    if not chosen:
+        return df.limit(0)
+    return firsts.join(reduce(DataFrame.union, chosen), "_id", "left_semi").select("_row.*")

@@ -21,6 +21,41 @@ def test_fuzzy_dedupe_keeps_first_of_each_cluster(spark):
         dedupe.fuzzy(df, ["name"], 80, ["n"], block_rows=2)
 
 
+def test_fuzzy_dedupe_is_that_of_all_pairs_in_order(spark):
+    import random
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randint(0, 24))) for _ in range(30)]
+    names = []
+    for _ in range(300):
+        t = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            t.insert(r.randint(0, len(t)), r.choice("abcdeXY"))
+        names.append("".join(t)[r.randint(0, 3) :])
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "n long, name string")
+    for threshold in (50, 80, 90, 97):
+        best = []
+        for i, n in enumerate(names):
+            if n and not any(similarity.score(n, names[k]) >= threshold for k in best):
+                best.append(i)
+        for size in (7, 4000):
+            if size == 4000 or threshold == 90:
+                found = dedupe.fuzzy(df.where("name <> ''"), ["name"], threshold, ["n"], round_rows=size)
+                assert sorted(x["n"] for x in found.collect()) == best
+
+
+def test_fuzzy_dedupe_of_a_large_table(spark):
+    df = spark.range(60_000).selectExpr("id AS n", "concat('name ', id % 3) AS name")
+    assert sorted(r["n"] for r in dedupe.fuzzy(df, ["name"], 95, ["n"]).collect()) == [0, 1, 2]
+
+
+def test_fuzzy_query_is_over_the_whole_table(spark, sf_dir):
+    from tabweave import catalogue
+
+    names = [r["p_name"] for r in catalogue.QUERIES["fuzzy_dedupe"](spark, sf_dir).collect()]
+    assert names and not any(similarity.score(a, b) >= 90 for i, a in enumerate(names) for b in names[:i])
+
+
 def test_partial_ratio():
     assert similarity.score("", "x") == 100 and similarity.score("ABC", "xabcx") == 100
     assert similarity.partial_ratio("abcd", "xxabed") == 75 and similarity.partial_ratio("abc", "xyz") == 0
