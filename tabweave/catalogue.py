@@ -264,6 +264,14 @@ query("join_collision_suffix", "SELECT n_regionkey AS k, n_name AS name, r_name
 query("join_chain", "SELECT c_nationkey AS k, c_custkey, n_name, s_suppkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 10 = 0")(
     lambda t: joins.chain([t.customer.where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("k"), "c_custkey"), t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey")], ["k"])
 )
+query("join_chain_customers", "SELECT c_custkey, c_nationkey AS k, n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(
+    lambda t: joins.join(
+        joins.chain([t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey"), t.nation.select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")], ["k"]), t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), ["n_regionkey"]
+    )
+)
+query("join_collision_suffix_orders", "SELECT o_custkey AS k, o_orderkey AS id, c_nationkey AS id_right FROM orders JOIN customer ON o_custkey = c_custkey")(
+    lambda t: joins.join(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id")), t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("id")), ["k"])
+)
 query(
     "join_diagnostics",
     f"""WITH l AS (SELECT k, count(*) AS n FROM {_L} GROUP BY k), r AS (SELECT k, count(*) AS n FROM {_R} GROUP BY k), b AS (SELECT l.n AS nl, r.n AS nr FROM l FULL JOIN r ON l.k = r.k)
