@@ -29,19 +29,21 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """Adds array<int> `ids` of every whole text."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None, decoded: str | None = None) -> DataFrame:
+    """Adds array<int> `ids` of every whole text; with `decoded`, also what `decode` makes of them, in the same pass."""
     path = tokenizer or default_tokenizer()
-    df = df.drop(ids) if ids != text else df
+    df = df.drop(*[c for c in (ids, decoded) if c and c != text])
     df = df.withColumn(text, blank_null(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, text, 2 << 20):
-            flat, offsets = e.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
+        for batch in slices(batches, text, 1 << 20):
+            flat, offsets, strings = e.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), decoded is not None)
+            batch = _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
+            yield _with(batch, decoded, pa.array(strings, pa.string())) if decoded else batch
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", tokenizer: str | None = None) -> DataFrame:

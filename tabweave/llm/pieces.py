@@ -77,6 +77,7 @@ class Vocabulary:
         self.strings = [""] * (max(pieces.values()) + 1)
         for t, i in pieces.items():
             self.strings[i] = t
+        self.spaced = [f" {t}" for t in self.strings]
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -191,10 +192,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class _Known(dict):
-    """chunk -> number of its entry in flat arrays of ids."""
+    """chunk -> number of its entry in flat arrays of ids, and in the list of what they decode to (a space before each token)."""
 
     def __init__(self, words: Vocabulary):
-        self.words, self.flat, self.start = words, array("i"), array("q", [0])
+        self.words, self.flat, self.start, self.decoded = words, array("i"), array("q", [0]), []
 
     def learn(self, chunks: list[str]) -> None:
         """Enters chunks that aren't known yet."""
@@ -205,6 +206,7 @@ class _Known(dict):
             else:
                 for p in words.pretokens(c):
                     self.flat.extend([p] if p.__class__ is int else words.ids(p))
+                self.decoded.append("".join([words.spaced[i] for i in self.flat[self.start[-1] :]]))
                 self.start.append(len(self.flat))
                 self[c] = len(self)
         if not simple:
@@ -218,6 +220,8 @@ class _Known(dict):
         starts = (np.cumsum(sizes) - sizes)[at]
         ids = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         bounds = np.concatenate([[0], ends])[np.cumsum(n)] + len(self.flat)
+        strings, cuts = [words.spaced[i] for i in ids.tolist()], (bounds - len(self.flat)).tolist()
+        self.decoded += ["".join(strings[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
         self.flat.frombytes(ids.astype(np.int32).tobytes())
         self.start.frombytes(bounds.astype(np.int64).tobytes())
         self.update(zip(simple, range(len(self), len(self) + len(simple)), strict=True))
@@ -226,13 +230,13 @@ class _Known(dict):
 class Encoder:
     """Encodes batches of texts; holds at most about `capacity` distinct chunks between batches."""
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 250_000):
         self.words, self.capacity = vocabulary(path), capacity
         self.known = _Known(self.words)
         self.hits = np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts in a row, and where each text's ids start."""
+    def encode(self, texts: list[str], decoded: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """ids of all texts in a row, where each text's ids start, and the decoded texts if asked for."""
         split, found, sizes = [chunks_of(t) for t in texts], [], []
         self.known.learn(list({c for chunks in split for c in chunks}.difference(self.known)))
         known = self.known.__getitem__
@@ -248,12 +252,16 @@ class Encoder:
         ids = flat[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         offsets = np.concatenate([[0], ends])[bounds]
+        strings = []
+        if decoded:
+            each = np.array(self.known.decoded, object)[at]
+            strings = ["".join(each[a:b].tolist())[1:] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         hits = np.bincount(at, minlength=len(self.known))
         hits[: len(self.hits)] += self.hits
         self.hits = hits
         if len(self.known) > self.capacity:
             self._forget(start, flat)
-        return ids, offsets
+        return ids, offsets, strings
 
     def _forget(self, start: np.ndarray, flat: np.ndarray) -> None:
         """Keeps the chunks used most often, half as many as there may be."""
@@ -266,6 +274,7 @@ class Encoder:
         self.known = _Known(self.words)
         self.known.flat.frombytes(flat[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))].astype(np.int32).tobytes())
         self.known.start.frombytes(ends.astype(np.int64).tobytes())
+        self.known.decoded = [old.decoded[i] for i in at.tolist()]
         self.known.update(zip(chunks, range(len(chunks)), strict=True))
         self.hits = self.hits[at] // 2
 

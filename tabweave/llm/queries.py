@@ -13,7 +13,7 @@ from .common import keep, table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs).drop("text")))
+    return bpe.digests(bpe.encode(docs, decoded="decoded"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
