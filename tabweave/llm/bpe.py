@@ -42,7 +42,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
             batch = _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
             yield _with(batch, decoded, pa.array(strings, pa.string())) if decoded else batch
 
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 

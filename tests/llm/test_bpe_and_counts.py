@@ -22,6 +22,8 @@ def test_ids_and_decoded_text_are_the_librarys(make_docs, clashes):
     for r in out:
         want = t.encode(r["text"], add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded"] == t.decode(want, skip_special_tokens=False)
+    at_once = bpe.encode(make_docs(rows(), clashes), decoded="decoded").select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, out))
 
 
 def test_random_texts_against_the_library():
@@ -29,9 +31,10 @@ def test_random_texts_against_the_library():
     pool = list("abcXYZ'stT019 .,!?-_\t\n\x0b\x1c\x1f\x85\xa0éÉçßÄİſΣσς́ 　中한🙂①²Ⅷ\x00\x7f\xad") + ["'ll", "<|endoftext|>", "ﬁ"]
     for _ in range(60):
         texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40))) for _ in range(10)]
-        ids, at = e.encode(texts)
+        ids, at, decoded = e.encode(texts, True)
         for k, x in enumerate(texts):
-            assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+            want = t.encode(x, add_special_tokens=False).ids
+            assert ids[at[k] : at[k + 1]].tolist() == want and decoded[k] == t.decode(want, skip_special_tokens=False)
 
 
 def test_every_cut_is_forced():
@@ -61,6 +64,6 @@ def test_empty_tables(make_docs):
 def test_digests(make_docs):
     import hashlib
 
-    r = bpe.digests(bpe.decode(bpe.encode(make_docs([(1, "a b")])))).first()
+    r = bpe.digests(bpe.encode(make_docs([(1, "a b")]), decoded="decoded")).first()
     ids = library().encode("a b", add_special_tokens=False).ids
     assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
