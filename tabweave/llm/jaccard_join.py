@@ -46,16 +46,15 @@ from pyspark.sql import functions as F
 
 from .common import blank_null, keep, slices
 from .graph import components
+from .packing import KEY, joined, pack_ids, pack_keys, unpack_ids, unpack_keys
 from .shingles import mix, sets
 
 #: Keys that a task holds before it sends them on, and documents for each partition of the keys.
-HELD, DOCS_A_PART = 600_000, 1000
+HELD, DOCS_A_PART = 600_000, 4000
 #: Buckets up to here give all their pairs; runs above LOCAL within a task are cut to their first member.
 PAIRS_UP_TO, LOCAL = 6, 64
 #: Members of a tile of a large bucket.
 TILE = 1024
-#: Bytes of the sketches that large buckets are tested with first.
-SMALL = 256
 #: Rows up to which an id table is broadcast (about 16 bytes a row).
 BROADCAST_IDS = 2_000_000
 #: Steps over the large buckets: spanning forests or all pairs, and one in how many buckets. The last one is whole.
@@ -77,7 +76,7 @@ def keys_of(s: np.ndarray) -> np.ndarray:
         if len(full) < need:
             full = np.concatenate([full, np.flatnonzero(blocks == 0)[: need - len(full)]])
         out.append(mix(blocks[full] ^ mix(full.astype(np.uint64), 7), level + 11))
-    return np.concatenate(out)
+    return np.concatenate(out) & KEY
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
@@ -101,9 +100,10 @@ def _fold(sketch: bytes, size: int) -> int:
     return x
 
 
-def small(sketch: bytes) -> bytes:
-    """The sketch folded to SMALL bytes at most: what large buckets are tested with first."""
-    return _fold(sketch, SMALL).to_bytes(SMALL, "little") if len(sketch) > SMALL else sketch
+def small(sketch: bytes, n: int) -> bytes:
+    """The sketch folded to one or two bits a shingle: what large buckets are tested with first."""
+    size = max(8, (2 << (n.bit_length() - 1)) // 8)
+    return _fold(sketch, size).to_bytes(size, "little") if len(sketch) > size else sketch
 
 
 def can_link(n1: int, s1: bytes, n2: int, s2: bytes) -> bool:
@@ -164,7 +164,7 @@ def _map(path_parts: int):
             keys, ids, cut = keys[stay], ids[stay], np.array(cut, np.uint64)
             loose = np.unique(np.concatenate(pairs), axis=0).tobytes() if pairs else b""
             full = np.concatenate(buckets).tobytes() if buckets else b""
-            part_of = lambda x: (x >> np.uint64(32)) % np.uint64(path_parts)
+            part_of = lambda x: (x >> np.uint64(16)) % np.uint64(path_parts)
             part, cut_part = part_of(keys), part_of(cut)
             order = np.argsort(part, kind="stable")
             keys, ids = keys[order], ids[order]
@@ -174,7 +174,7 @@ def _map(path_parts: int):
                 a, b = ends[p], ends[p + 1]
                 mine = cut[cut_part == p] if len(cut) else cut
                 if b > a or p == 0:
-                    for c, v in zip(rows, (p, keys[a:b].tobytes(), ids[a:b].tobytes(), mine.tobytes(), b"", b"", b"", []), strict=True):
+                    for c, v in zip(rows, (p, pack_keys(keys[a:b]), pack_ids(ids[a:b]), mine.tobytes(), b"", b"", b"", []), strict=True):
                         rows[c].append(v)
             # what isn't keyed goes with a part drawn from the first node, to spread it
             at = int(nodes[0][0]) % len(rows["part"]) if nodes else 0
@@ -218,7 +218,7 @@ _FOUND = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary, sma
 def _meet(t: pa.Table) -> pa.Table:
     """One part of the key space: its buckets' pairs and large buckets, and the nodes that came along."""
     join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    keys, ids, start, size = _runs(join("keys", np.uint64), join("ids", np.int64))
+    keys, ids, start, size = _runs(unpack_keys(t.column("keys").to_pylist()), joined([unpack_ids(x) for x in t.column("ids").to_pylist()]))
     pairs = np.concatenate([_pairs(ids, start, size), join("pairs", np.int64).reshape(-1, 2)])
     cut = np.isin(keys[start], join("cut", np.uint64)) if len(start) else np.zeros(0, bool)
     large = np.repeat((size > PAIRS_UP_TO) | cut, size)
@@ -237,7 +237,7 @@ def _meet(t: pa.Table) -> pa.Table:
             "h1": col(nodes[:, 2], none),
             "h2": col(nodes[:, 3], none),
             "sketch": pa.array([x or None for x in sketches] + [None] * (n_p + n_b), pa.binary()),
-            "small": pa.array([small(x) if x else None for x in sketches] + [None] * (n_p + n_b), pa.binary()),
+            "small": pa.array([small(x, n) if x else None for x, n in zip(sketches, nodes[:, 1].tolist(), strict=True)] + [None] * (n_p + n_b), pa.binary()),
         }
     )
 
@@ -283,21 +283,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return keep(both.where(100 * common >= 80 * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct())
 
 
-def _near(n: np.ndarray, label: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and Hamming distances of the pairs of two labels that could link; n is in order."""
-    if len(n) <= 128:
-        a, b = np.triu_indices(len(n), 1)
-        good = (label[a] != label[b]) & (10 * n[a] >= 8 * n[b])
-        a, b = a[good], b[good]
-        far = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-        good = far * 9 <= n[a] + n[b]
-        return a[good], b[good], far[good]
+def _far(n: np.ndarray, label: np.ndarray, one: np.ndarray, two: np.ndarray, at: int, bt: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows at, at + 1, ... with sketches `one` and later rows bt, bt + 1, ... with sketches `two`: what could link."""
     out = []
-    for i in range(len(n) - 1):
-        stop = np.searchsorted(n, n[i] * 5 // 4, side="right")
-        far = np.bitwise_count(bits[i] ^ bits[i + 1 : stop]).sum(1, dtype=np.int64)
-        at = np.flatnonzero((far * 9 <= n[i] + n[i + 1 : stop]) & (label[i + 1 : stop] != label[i]))
-        out.append((np.full(len(at), i), i + 1 + at, far[at]))
+    step = max(1, (1 << 21) // (two.shape[1] * max(1, len(two))))
+    for i in range(0, len(one), step):
+        j = max(at + i + 1 - bt, 0)
+        stop = int(np.searchsorted(n[bt : bt + len(two)], n[min(at + i + step, at + len(one)) - 1] * 5 // 4, side="right"))
+        far = np.bitwise_count(one[i : i + step, None] ^ two[None, j:stop]).sum(2, dtype=np.int64)
+        a, b = np.nonzero(far * 9 <= n[at + i : at + i + len(far), None] + n[None, bt + j : bt + stop])
+        far, a, b = far[a, b], a + at + i, b + bt + j
+        good = (a < b) & (label[a] != label[b]) & (10 * n[a] >= 8 * n[b])
+        out.append((a[good], b[good], far[good]))
+    return out
+
+
+def _near(n: np.ndarray, label: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and Hamming distances of the pairs of two labels that could link; n is in order, so sketches grow in length."""
+    size = np.array([len(x) for x in sketches])
+    cuts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1], [True]])).tolist()
+    bits = [np.frombuffer(b"".join(sketches[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = []
+    for k, own in enumerate(bits):
+        out += _far(n, label, own, own, cuts[k], cuts[k])
+        if k + 1 < len(bits) and bits[k + 1].shape[1] == 2 * own.shape[1]:  # halves of a longer sketch put together
+            out += _far(n, label, own, bits[k + 1][:, : own.shape[1]] ^ bits[k + 1][:, own.shape[1] :], cuts[k], cuts[k + 1])
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
@@ -336,7 +346,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
     # the label most likely to be a large group's is its smallest: its members needn't meet each other
     count = b.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = count.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("k"), F.min_by("n", "label").alias("km")).where("lo <> hi")
-    b = b.join(mixed.withColumn("kn", F.col("k") - F.col("km")), "bucket").withColumn("main", F.col("label") == F.col("lo"))
+    b = b.join(_beside(keep(mixed.withColumn("kn", F.col("k") - F.col("km")))), "bucket").withColumn("main", F.col("label") == F.col("lo"))
     tiles = lambda c: F.ceil(F.col(c) / TILE).cast("long")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), tiles("km")).otherwise(tiles("kn")))
     b = b.withColumn("tm", tiles("km")).withColumn("tn", tiles("kn")).withColumn("own", own)
@@ -363,9 +373,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
             found: dict[tuple[int, int], None] = {}
             for k in range(batch.num_rows):
                 at = offsets[k] + np.argsort(n[offsets[k] : offsets[k + 1]], kind="stable")
-                own, size = [sketches[i] for i in at], min(len(sketches[i]) for i in at)
-                bits = np.frombuffer(b"".join(x if len(x) == size else _fold(x, size).to_bytes(size, "little") for x in own), np.uint64).reshape(len(own), -1)
-                a, b, far = _near(n[at], label[at], bits)
+                a, b, far = _near(n[at], label[at], [sketches[i] for i in at])
                 if len(a):
                     gone = {(int(rep[i]), y) for i in at for y in lost[i] or ()} if lost else set()
                     found.update(dict.fromkeys(_chosen(a, b, far, label[at], rep[at], gone, forest)))

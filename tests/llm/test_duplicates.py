@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,7 +55,9 @@ def corpus():
 def test_components_are_those_of_all_pairs(make_docs, clashes, monkeypatch):
     rows = corpus()
     want = brute(rows)
-    for local, tile, steps in ((64, 1024, jaccard_join.STEPS), (2, 4, ((True, 2), (False, 1))), (3, 5, ((False, 1),))):
+    for local, tile, steps, broadcast in ((64, 1024, jaccard_join.STEPS, 10**6), (2, 4, ((True, 2), (False, 1)), 0), (3, 5, ((False, 1),), 10**6)):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", broadcast)
+        monkeypatch.setattr(graph, "ONE_TASK", broadcast)
         monkeypatch.setattr(jaccard_join, "LOCAL", local)
         monkeypatch.setattr(jaccard_join, "TILE", tile)
         monkeypatch.setattr(jaccard_join, "STEPS", steps)
@@ -91,7 +94,9 @@ def test_shingles_of_short_texts():
     assert [len(x) for x in s] == [0, 1, 1, 1, 1, 2] and s[1][0] == s[2][0] and s[1][0] != s[3][0]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_connected_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(90)]
     up = {}
@@ -167,9 +172,87 @@ def test_no_passages_in_empty_tables(make_docs):
     assert passages.repeated(make_docs([])).count() == 0 and passages.removed(make_docs([])).count() == 0
 
 
-def test_copies_of_a_key_are_one_text(make_docs):
-    t = text(words(80, 3))
+def test_rows_of_one_key(make_docs, clashes):
+    t, other, alone = text(words(80, 3)), text(words(100, 4)), text(words(70, 5))
     assert passages.repeated(make_docs([(1, t), (1, t)])).count() == 0
+    # texts that share a key keep their own spans; a null beside a text hides nothing
+    rows = [(1, text(words(60, 6), words(40, 7))), (5, text(words(20, 8), words(60, 6))), (5, other), (5, None), (7, alone), (7, None), (7, text(words(60, 6))), (7, text(words(60, 6))), (9, alone), (9, "")]
+    docs = make_docs(rows, clashes)
+    found = sorted((r["doc_id"], r["source"], r["n_words"]) for r in passages.repeated(docs).collect())
+    assert found == [(5, 1, 60), (7, 1, 60), (9, 7, 70)]
+    left = sorted((r["doc_id"], (r["text"] or "").strip()) for r in passages.removed(docs).collect())
+    assert left == sorted([(1, rows[0][1]), (5, text(words(20, 8))), (5, other), (5, ""), (7, alone), (7, ""), (7, ""), (7, ""), (9, ""), (9, "")])
+
+
+def quoted(seed):
+    """Texts with exact and changed copies, among many that share short runs of the same passages."""
+    r, rows = random.Random(seed), []
+    sources = [words(r.randint(60, 140), 1000 * seed + g) for g in range(6)]
+    for p in sources:
+        for _ in range(r.choice([3, 14, 40])):  # short runs, none a repeat itself
+            a = r.randrange(len(p) - 24)
+            rows.append(words(r.randint(5, 40), r.random()) + p[a : a + r.randint(6, 24)] + words(r.randint(5, 40), r.random()))
+        for _ in range(r.choice([2, 3, 12])):
+            q, rate = list(p), r.choice([0, 0, 0.03, 0.08])
+            for k in range(len(q)):
+                if r.random() < rate:
+                    q[k] = f"x{r.random()}"
+            rows.append(words(r.randint(0, 80), r.random()) + q + words(r.randint(0, 80), r.random()))
+    r.shuffle(rows)
+    return [(10 * i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def repeats(rows):
+    """Of all pairs of texts: words of the later one in passages of 50 or more words that the earlier one has, 80 % alike."""
+    out = {}
+    split = {i: np.array([hash(w) for w in t.split()], np.int64) for i, t in rows}
+    for j in split:
+        covered = np.zeros(len(split[j]), bool)
+        for i in split:
+            if i < j and len(set(split[i].tolist()) & set(split[j].tolist())) > 30:
+                step = passages.steps(split[j], split[i])
+                at, equal = np.concatenate([[0], np.cumsum(step[:, 0])]), step[:, 2]
+                for lo in range(len(step)):
+                    if equal[lo]:
+                        size = at[lo + 1 :] - at[lo]
+                        alike = np.cumsum(equal[lo:]) / np.arange(1, len(step) - lo + 1)
+                        good = np.flatnonzero((size >= 50) & (alike >= 0.8) & (equal[lo:] == 1))
+                        if len(good):
+                            covered[at[lo] : at[lo + 1 + good[-1]]] = True
+        out[j] = covered
+    return out
+
+
+def test_repeats_of_all_pairs_for_any_number_of_partitions(make_docs, monkeypatch):
+    for seed, local, partitions in ((1, 64, (1, 4, 16)), (3, 3, (1, 5))):
+        monkeypatch.setattr(passages, "LOCAL", local)
+        rows, results = quoted(seed), []
+        for n in partitions:
+            results.append(sorted(map(tuple, passages.repeated(make_docs(rows).repartition(n)).collect()), key=str))
+        assert all(x == results[0] for x in results)
+        want, got = repeats(rows), {}
+        for i, t in rows:
+            starts = np.cumsum([0] + [len(w) + 1 for w in t.split()])[:-1]
+            mine = [x for x in results[0] if x[0] == i]
+            got[i] = np.array([any(x[1] <= s < x[2] for x in mine) for s in starts.tolist()], bool)
+        hit, total = sum((want[i] & got[i]).sum() for i in got), sum(want[i].sum() for i in got)
+        wrong = sum((got[i] & ~want[i]).sum() for i in got)
+        assert total > 1000 and hit >= 0.9 * total and wrong <= 0.02 * total, (hit, total, wrong)
+
+
+def test_one_passage_of_two_texts_among_many_short_runs_of_it(make_docs):
+    r, p = random.Random(11), words(60, 11)
+    rows = [(i, text(words(20, 900 + i), p[(a := r.randrange(36)) : a + 24], words(20, 9000 + i))) for i in range(60)]
+    rows += [(100, text(words(30, 1), p)), (200, text(p, words(30, 2)))]
+    for n in (1, 16):
+        assert {(x["doc_id"], x["source"]) for x in passages.repeated(make_docs(rows).repartition(n)).collect()} == {(200, 100)}
+
+
+def test_joins_without_broadcast_give_the_same(make_docs, monkeypatch):
+    rows = quoted(4)
+    want = sorted(map(str, passages.repeated(make_docs(rows)).collect()))
+    monkeypatch.setattr(passages, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, passages.repeated(make_docs(rows)).collect())) == want
 
 
 def test_passages_of_a_chain_with_unlike_words_between(make_docs):
@@ -228,9 +311,9 @@ def test_recall_of_changed_copies():
             for k in r.sample(range(1, 49), round(50 * (1 - alike))):
                 q[k] = fresh(1)[0]
             a, b = text(fresh(50), p, fresh(50)), text(fresh(70), q, fresh(40))
-            (ka, pa), (kb, pb) = passages.seeds([a, b])
-            first = dict(zip(ka.tolist()[::-1], pa.tolist()[::-1], strict=True))
-            met = np.array([(y, first[k]) for k, y in zip(kb.tolist(), pb.tolist(), strict=True) if k in first]).reshape(-1, 2)
+            keys, which, places = passages.seeds([a, b])
+            first = dict(zip(keys[which == 0].tolist()[::-1], places[which == 0].tolist()[::-1], strict=True))
+            met = np.array([(y, first[k]) for k, y in zip(keys[which == 1].tolist(), places[which == 1].tolist(), strict=True) if k in first]).reshape(-1, 2)
             wa, wb = (shingles.word_hashes([t])[0] for t in (a, b))
             found += any(passages.passages(wb, s, e, wa, os, oe) for s, e, os, oe in passages.chains(passages.thinned(met[:, 0], met[:, 1])))
         assert found >= 100 * least_found, (alike, found)
