@@ -20,9 +20,13 @@ def unpack_keys(packed: list[bytes]) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """The distinct ids, and of each the place there in as few bytes as will do."""
-    own, place = np.unique(ids, return_inverse=True)
+def pack_ids(ids: np.ndarray, which: np.ndarray | None = None) -> bytes:
+    """The distinct ids (of those which are asked for), and of each the place there in as few bytes as will do."""
+    if which is None:
+        own, place = np.unique(ids, return_inverse=True)
+    else:
+        used = np.bincount(which, minlength=len(ids)) > 0
+        own, place = ids[used], (np.cumsum(used) - 1)[which]
     return np.int64(len(own)).tobytes() + own.astype(np.int64).tobytes() + place.astype(_width(len(own))).tobytes()
 
 
