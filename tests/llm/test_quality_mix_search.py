@@ -79,6 +79,19 @@ def test_mix(make_docs, clashes):
     assert copies.columns == docs.columns and copies.agg(F.sum(F.size(F.split("text", " ")))).first()[0] >= sum(taken.values()) - 1
 
 
+def test_rows_of_one_key_and_text_come_near_the_target(make_docs):
+    rows = [(None, f"{'x ' * 95}{i % 50}", "a") for i in range(50)] + [(7, "y " * 10, "b") for _ in range(333)] + [(i, "z " * 500, None) for i in range(20)]
+    for n in (1, 5):
+        docs = make_docs(rows).repartition(n)
+        measured = mixing.keep(mixing.measure(docs))
+        out = mixing.apply(measured, mixing.cutoffs(measured)).collect()
+        assert len(out) == len(rows)
+        for s, each in (("a", 96), ("b", 10), (None, 500)):
+            own = [r for r in out if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= each / 2 + 1e-6 and all(r["taken"] <= 2 * r["size"] for r in own)
+        assert mixing.mixed(docs).columns == docs.columns
+
+
 def test_mix_edge_tables(make_docs):
     for rows in ([], [(1, None, None)], [(1, "", "a"), (1, "", "a")], [(1, "a b", "s"), (1, "a b", "s"), (None, "c", None)]):
         d = mixing.measure(make_docs(rows))
