@@ -48,13 +48,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Verdict, host and path of the rules that go before the list.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words in a host's name that put it on the list.
-URL_TERMS = ("adult", "bets", "casino", "spam")
+#: The block list, domains that stand for themselves and their subdomains.
+URL_LIST = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.hosts_named(pages, URL_TERMS), URL_RULES)
+    entries = spark.createDataFrame([(x,) for x in URL_LIST], "entry string")
+    return url_filter.judge(pages, entries, URL_RULES)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

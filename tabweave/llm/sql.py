@@ -31,7 +31,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496.0)
     / CASE WHEN length(coalesce(text, '')) = 0 THEN 1.0
            ELSE greatest(0.1, 1 - 5 * (1 - length(translate(text, '#*$%&|<>!', ''))::DOUBLE / length(text))) END AS mix_key
   FROM documents),
@@ -46,18 +46,13 @@ l AS (
   FROM s),
 t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-k AS (SELECT source, mix_key, sum(size) AS words FROM d GROUP BY source, mix_key),
 p AS (
-  SELECT k.source, mix_key, words, target - epochs * source_size AS rest,
-    sum(words) OVER (PARTITION BY k.source ORDER BY mix_key)::DOUBLE AS reached
-  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
-c AS (
-  SELECT source, max(mix_key) AS cutoff FROM p
-  WHERE reached <= rest OR (reached - words < rest AND reached - rest <= rest - (reached - words)) GROUP BY source)
-SELECT d.doc_id, d.size, e.source_size, e.target,
-  ((epochs + CASE WHEN mix_key <= cutoff THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+  SELECT d.*, e.source_size, target, epochs, target - epochs * e.source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY mix_key, doc_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS reached
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  ((epochs + CASE WHEN reached <= rest OR (reached - size < rest AND reached - rest <= rest - (reached - size)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM p
 """
 
 OP9 = r"""
@@ -76,6 +71,6 @@ r AS (
   FROM h)
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block'
-    ELSE CASE WHEN regexp_matches(host, 'adult|bets|casino|spam') THEN 'block' ELSE 'allow' END END AS verdict
+    ELSE CASE WHEN regexp_matches(host, '^(.*[.])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$') THEN 'block' ELSE 'allow' END END AS verdict
 FROM r
 """

@@ -13,8 +13,9 @@ prefix go before the array; the longest fitting one wins.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no
 rule and is allowed; rows stay apart even where keys repeat; null and empty entries
-of the list are left out, repeated ones count once; an empty list blocks nothing;
-other columns are not read.
+of the list are left out, repeated ones count once; an empty list blocks nothing; an
+empty table gives an empty result; URLs and hosts of any length are read whole (a host
+gives a probe for each of its labels); other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 import mmap
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ from .common import keep
 
 #: Entries of a shard: 8 MB of keys and some 30 MB of strings.
 SHARD = 1 << 20
+#: Rows up to which a table of listed hosts is broadcast (some 60 bytes a row).
+BROADCAST_HOSTS = 200_000
 
 
 def host_of(url: str = "url") -> Column:
@@ -98,7 +100,7 @@ def listed(probes: DataFrame, entries: DataFrame) -> DataFrame:
 
     # a shard's probes are dealt over groups of about as many rows, each with the shard's entries
     probes = keep(probes.select("probe").distinct())
-    parts = probes.count() // (shards * SHARD) + 8
+    parts = probes.count() // (shards * SHARD) + 1
     dealt = probes.withColumn("shard", shard(F.col("probe"))).withColumn("part", F.pmod(F.xxhash64("probe", F.lit("part")), F.lit(parts)))
     have = entries.withColumn("shard", shard(F.col("entry"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     return dealt.groupBy("shard", "part").cogroup(have.groupBy("shard", "part")).applyInPandas(probe, "probe string")
@@ -111,13 +113,13 @@ def judge(pages: DataFrame, blocked: DataFrame, rules: Sequence[tuple[str, str,
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     probes = hosts.select("host", F.explode(parents).alias("probe"))
-    bad = probes.join(listed(probes.select("probe"), blocked), "probe").groupBy("host").agg(F.lit(True).alias("bad"))
-    out = df.join(bad, "host", "left").withColumn("by_rule", rule_of(rules))
+    hits = keep(listed(probes.select("probe"), blocked))
+    bad = keep(probes.join(beside(hits), "probe").select("host").distinct())
+    out = df.join(beside(bad.withColumn("bad", F.lit(True))), "host", "left").withColumn("by_rule", rule_of(rules))
     verdict = F.coalesce("by_rule.verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return out.select(F.col("key").alias(key), "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def hosts_named(pages: DataFrame, terms: Sequence[str], url: str = "url") -> DataFrame:
-    """A block list from the pages themselves: their hosts whose name holds one of the terms."""
-    h = pages.select(host_of(url).alias("entry"))
-    return h.where(reduce(lambda a, b: a | b, [F.col("entry").contains(t) for t in terms])).distinct()
+def beside(hosts: DataFrame) -> DataFrame:
+    """hosts, to be broadcast if its rows are few enough; else its join is one that can be split where a host is hot."""
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
