@@ -16,7 +16,10 @@
 
 Defined results: null html counts as empty; a page without text gives an empty string;
 a null URL, or one without `://`, has an empty host, and such pages are each other's
-host; rows stay apart even where keys repeat; other columns are not read.
+host; rows stay apart even where keys repeat; whole pages, of any length, in time that
+grows with the length; a tag that the page's end cuts off is no text, and a quote
+without its counterpart ends with its tag; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_null, slices
+from .common import blank_null, slices, text_batches
 from .url_filter import host_of, path_of
 
 MAIN, ASIDE, OPEN = "m", "a", "o"
@@ -45,25 +48,66 @@ _BLOCK = {
     "tfoot", "th", "thead", "tr", "ul",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Fixed value: words in class, id or role that mark a part outside the main text.
-_MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
-)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Fixed value: names in class, id or role of a part outside the main text.
+_MARKS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent",
+    "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo",
+    "promoted", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+#: Fixed value: names that may stand beside those in one class name (cookie-banner, sidebar_left, ad-box) and say nothing of their own.
+_NEUTRAL = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "header", "inner", "item", "items", "left", "link", "links", "list", "main",
+    "outer", "panel", "post", "posts", "right", "row", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper",
+}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: An attribute's name and value.
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_STOP = re.compile(r"[>\"']")
 _CLOSE = {x: re.compile(rf"</{x}\b[^>]*>|\Z", re.I) for x in _SILENT}
 
 
+def _marked(value: str) -> bool:
+    """True if one of the names is a mark, or is made of marks and neutral words."""
+    for name in value.lower().split():
+        parts = re.split("[-_]+", name.strip("-_"))
+        if not _MARKS.isdisjoint(parts) and all(x in _MARKS or x in _NEUTRAL or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _outside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _ASIDE or tag == "header" and not in_main:
         return True
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and _MARK.search(value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and _marked(value):
             return True
     return False
 
 
+def _next_tag(page: str, at: int) -> tuple[int, int, str, str, str] | None:
+    """Start and end of the next tag, "/" of an end tag, name (empty for comments and the like) and attributes; each character is looked at a few times at most."""
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), start):
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + (4 if comment else 2))
+            return start, len(page) if end < 0 else end + (3 if comment else 1), "", "", ""
+        closing = "/" if page.startswith("/", start + 1) else ""
+        name = _NAME.match(page, start + 1 + len(closing))
+        if name:
+            at = name.end()
+            while m := _STOP.search(page, at):
+                if m[0] == ">":
+                    return start, m.end(), closing, name[0].lower(), page[name.end() : m.start()]
+                at = m.end()
+                # a quote counts after = and if there is another one
+                if page[max(name.end(), m.start() - 20) : m.start()].rstrip().endswith("=") and (other := page.find(m[0], at)) >= 0:
+                    at = other + 1
+            return None
+        at = start + 1
+    return None
+
+
 def lines_of(page: str) -> list[tuple[str, str]]:
     """(part, line) in page order; character references decoded, white space folded."""
     out: list[tuple[str, str]] = []
@@ -78,11 +122,11 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         words.clear()
 
     while at < end:
-        m = _TAG.search(page, at)
-        words.append(page[at : m.start()] if m else _cut(page[at:]))
-        if not m:
+        found = _next_tag(page, at)
+        words.append(page[at : found[0]] if found else _cut(page[at:]))
+        if not found:
             break
-        at, closing, tag = m.end(), m[1], (m[2] or "").lower()
+        _, at, closing, tag, attributes = found
         if not tag:
             continue
         if tag in _BLOCK:
@@ -95,12 +139,12 @@ def lines_of(page: str) -> list[tuple[str, str]]:
                     del stack[k:]
                     part = stack[-1][1] if stack else OPEN
                     break
-        elif tag in _SILENT and not m[3].endswith("/"):
+        elif tag in _SILENT and not attributes.endswith("/"):
             at = _CLOSE[tag].search(page, at).end() if tag != "head" else at
-        elif tag not in _VOID and not m[3].endswith("/"):
+        elif tag not in _VOID and not attributes.endswith("/"):
             own = part
             if part != ASIDE:
-                own = ASIDE if tag not in ("html", "body") and _outside(tag, m[3], part == MAIN) else MAIN if tag in _MAIN else part
+                own = ASIDE if tag not in ("html", "body") and _outside(tag, attributes, part == MAIN) else MAIN if tag in _MAIN else part
             if own != part:
                 flush()
             if own != part or tag in ("div", "section", "ul", "ol", "table", "span", *_MAIN, *_ASIDE):
@@ -146,9 +190,9 @@ def main_text(lines: list[tuple[str, str]], nearest: list[str] | None) -> str:
     return "\n".join(x for i, (p, x) in enumerate(lines) if p == MAIN or p == OPEN and not has_main and i not in gone)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", rows_a_bucket: int = 5000) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", rows_a_bucket: int = 2000) -> DataFrame:
     """key, url, text, n_chars of every row."""
-    spark = pages.sparkSession
+    spark = text_batches(pages).sparkSession
     order = ["host", "path", "sort_key"]
     df = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), blank_null(page).alias("html"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("sort_key"))
     kind = df.schema["key"].dataType.simpleString()

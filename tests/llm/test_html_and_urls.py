@@ -34,6 +34,30 @@ def test_broken_pages(spark):
     assert len(html_text.lines_of("<p>w</p>" * 20000)) == 20000
 
 
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for piece in ('<a "', "<a '", '<a b="', "<a b='", "<!--", "<", "</", "<a b=c ", "<p>x", "'\"<>", '<div class="ad">', "&amp;<"):
+        start = time.process_time()
+        html_text.lines_of(piece * ((1 << 20) // len(piece)))
+        assert time.process_time() - start < 3, piece
+
+
+def test_class_names_and_quotes():
+    page = '<article>a<div class="share-price"><p>The share price rose</div><p class="related-work">more<p title="hidden role=nav">seen<div class="x cookie-banner top">no</div><div id="comments_list">no</div>b</article>'
+    assert [x for p, x in html_text.lines_of(page) if p == "m"] == ["a", "The share price rose", "more", "seen", "b"]
+    assert html_text.lines_of('<p title="it>text') == [("o", "text")] and html_text.lines_of("<p title=\"a>b\" id='>'>text</p>") == [("o", "text")]
+
+
+def test_clashing_columns_do_no_harm(spark, clashes):
+    rows = [(1, "http://h/a", "<p>x</p>"), (2, "http://h/b", "<p>y</p>")]
+    df = pages(spark, rows)
+    for c in ("key", "parts", "lines", "context", "sort_key", *clashes):
+        if c not in df.columns:
+            df = df.withColumn(c, df["url"])
+    assert texts(html_text.extract(df)) == {(1, "x", 1), (2, "y", 1)}
+
+
 def test_longest_common_subsequence():
     assert html_text.shared(list("abcbdab"), list("bdcaba")) and len(html_text.shared(list("abcbdab"), list("bdcaba"))) == 4
     assert html_text.shared([], ["a"]) == set()
@@ -59,6 +83,18 @@ def test_verdicts(spark):
     assert url_filter.judge(df, blocked.limit(0), RULES).count() == 12 and url_filter.judge(df.limit(0), blocked, RULES).count() == 0
 
 
+def test_verdicts_without_broadcast_and_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(url_filter, "SHARD", 8)
+    urls = [f"http://h{i % 40}.s{i % 7}.com/{i}" for i in range(400)] + [f"http://{'a.' * 3000}s1.com/{'b' * 30000}"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    blocked = spark.createDataFrame([(x,) for x in [*(f"h{i}.s{i % 7}.com" for i in range(0, 40, 3)), "s1.com"]], "entry string")
+    listed = {r[0] for r in blocked.collect()}
+    for r in url_filter.judge(df, blocked).collect():
+        parents = r["host"].split(".")
+        assert (r["verdict"] == "block") == any(".".join(parents[k:]) in listed for k in range(len(parents)))
+
+
 def test_digest_array_confirms_strings():
     a = url_filter.DigestArray(["x", "y", "x"])
     a.strings[0] = "other"  # as if two strings had one key
