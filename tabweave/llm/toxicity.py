@@ -7,8 +7,14 @@ what the toxic dictionary saves is the window's distance. A document's score com
 from a logistic curve over its windows' savings, fitted on labelled documents that
 the dictionaries haven't seen and weighted to the labels' own share of toxic rows.
 
-The fit uses at most `SAMPLE` labelled rows of each class (first by the MD5 of the
-key), of each at most its first `TRAIN_CHARS` characters; scoring reads whole texts.
+The fit uses at most `SAMPLE` labelled rows of each class, in order of the MD5 of the
+key, as long as those before them have fewer than `TRAIN_CHARS` characters in all; it
+and scoring read whole texts.
+
+Dictionaries that are both trained on whole windows of their class tell toxic text
+much less well (held-out AUC of 0.70 to 0.84 in place of 0.997 on 20,598 labelled
+rows), as most of what they learn is the language that both classes share; so the toxic
+dictionary is the base with what sets toxic text apart.
 
 Defined results: null text counts as empty; an empty text scores as one window-less
 document does; without labelled rows of both classes every score is 0; repeated
@@ -28,10 +34,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import blank_null, slices
+from .common import blank_null, slices, text_batches
 
-SAMPLE, TRAIN_CHARS = 2000, 20_000
+SAMPLE, TRAIN_CHARS = 2000, 16_000_000
 WINDOW, LEVEL, BASE_BYTES, EXTRA_WORDS, BASE_WINDOWS = 8, 3, 32 << 10, 100, 60_000
 #: Lengths in bytes of the word beginnings that are compared.
 STEMS = range(4, 11)
@@ -154,14 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = {r[0]: r[1] for r in own.groupBy(label).count().collect()}
     order = F.md5(F.col(key).cast("string"))
     chosen = own.where(F.col(label) == 1).orderBy(order).limit(sample).unionAll(own.where(F.col(label) == 0).orderBy(order).limit(sample))
-    rows = docs.select(key, F.substring(blank_null(text), 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), key)
+    rows = docs.select(key, blank_null(text).alias("text")).join(F.broadcast(chosen), key)
+    before = Window.partitionBy(label).orderBy(order, F.md5("text")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < TRAIN_CHARS)
     found = sorted({(r[1], r[0]) for r in rows.select("text", label).toLocalIterator()}, key=lambda r: hash_of(r[1].encode("utf-8", "surrogatepass")))
     return train([t for y, t in found if y == 1], [t for y, t in found if y == 0], n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted of every row."""
-    df = docs.select(F.col(key).alias("key"), blank_null(text).alias("text"))
+    df = text_batches(docs).select(F.col(key).alias("key"), blank_null(text).alias("text"))
     kind = df.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +186,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def filtered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that the model doesn't call toxic."""
-    at, schema = docs.columns.index(text), docs.schema
+    at, schema = text_batches(docs).columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.array(model.weights)
