@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_null, keep, slices
+from .common import blank_null, keep, slices, text_batches
 from .graph import components
 from .packing import KEY, joined, pack_ids, pack_keys, unpack_ids, unpack_keys
 from .shingles import mix, sets
@@ -197,7 +197,7 @@ def _map(path_parts: int):
                 if d in first:
                     sketches.append(b"")
                     continue
-                if len(first) < 500_000:
+                if len(first) < 100_000:
                     first[d] = i
                 k = keys_of(s)
                 sketches.append(bit_sketch(s))
@@ -384,7 +384,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row: the smallest key that links reach."""
-    df = docs.select(F.col(key).cast("long").alias("id"), blank_null(text).alias("text"))
+    df = text_batches(docs).select(F.col(key).cast("long").alias("id"), blank_null(text).alias("text"))
     own = df.where("id is not null")
     parts = docs.count() // DOCS_A_PART + 1
     found = keep(own.mapInArrow(_map(parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))
