@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_null, slices
+from .common import blank_null, slices, text_batches
 from .pieces import default_tokenizer, encoder, vocabulary
 
 
@@ -32,7 +32,7 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str | None = None, decoded: str | None = None) -> DataFrame:
     """Adds array<int> `ids` of every whole text; with `decoded`, also what `decode` makes of them, in the same pass."""
     path = tokenizer or default_tokenizer()
-    df = df.drop(*[c for c in (ids, decoded) if c and c != text])
+    df = text_batches(df).drop(*[c for c in (ids, decoded) if c and c != text])
     df = df.withColumn(text, blank_null(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """Adds string `decoded`: the vocabulary has no decoder, so its tokens are joined by a space."""
     path = tokenizer or default_tokenizer()
-    df = df.drop(decoded)
+    df = text_batches(df).drop(decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = vocabulary(path).strings
