@@ -93,7 +93,7 @@ def _figures(texts: list[str], least: int) -> dict[str, np.ndarray]:
         raw = t.encode("utf-8", "surrogatepass")
         w = raw.split()
         words.append(np.fromiter(map(ids.__getitem__, w), np.int64, len(w)))
-        each = np.fromiter(map(len, w), np.int64, len(w))
+        each = np.fromiter(map(len, w if len(raw) == len(t) else [x.decode("utf-8", "surrogatepass") for x in w]), np.int64, len(w))
         by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         sizes.append(each)
         n_words.append(len(w))

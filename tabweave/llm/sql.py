@@ -74,3 +74,35 @@ SELECT page_id, host, path, rule,
     ELSE CASE WHEN regexp_matches(host, '^(.*[.])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$') THEN 'block' ELSE 'allow' END END AS verdict
 FROM r
 """
+
+# words in repeats of n words or more are those in n-word windows that the text holds twice
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+v AS (
+  SELECT doc_id, i, length(w[i]) AS chars,
+    CASE WHEN i + 2 <= len(w) THEN array_to_string(w[i:i + 2], ' ') END AS w3,
+    CASE WHEN i + 7 <= len(w) THEN array_to_string(w[i:i + 7], ' ') END AS w8,
+    CASE WHEN i + 60 <= len(w) THEN md5(array_to_string(w[i:i + 60], ' ')) END AS w61 FROM x),
+c AS (
+  SELECT doc_id, i, chars,
+    w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w3) > 1 AS r3,
+    w8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w8) > 1 AS r8,
+    w61 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w61) > 1 AS r61 FROM v),
+m AS (
+  SELECT doc_id, chars, r61,
+    bool_or(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+    bool_or(r8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8 FROM c),
+g AS (
+  SELECT doc_id, sum(chars)::BIGINT AS word_chars, count_if(c3)::BIGINT AS n_repeat_words,
+    coalesce(sum(chars) FILTER (WHERE c8), 0)::DOUBLE / greatest(sum(chars), 1)::DOUBLE AS covered_fraction, bool_or(r61) AS too_long FROM m GROUP BY doc_id),
+f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+     - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_fraction, 0.0)::DOUBLE AS covered_fraction, coalesce(too_long, false) AS too_long
+  FROM d LEFT JOIN g USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_fraction <= 0.4 AND NOT too_long AS kept, covered_fraction FROM b
+"""
