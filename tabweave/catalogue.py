@@ -88,7 +88,7 @@ for _name, _source, _sql, _rules, _where in [
     ("filter_contains", _parts, _PARTS, [("p_name", "contains", "WID")], "contains(lower(p_name), 'wid')"),
     ("filter_not_contains", _parts, _PARTS, [("p_name", "not_contains", "WID")], "NOT contains(lower(p_name), 'wid')"),
     ("filter_starts_with", _parts, _PARTS, [("p_type", "starts_with", "eco")], "starts_with(lower(p_type), 'eco')"),
-    ("filter_ends_with", _parts, _PARTS, [("p_name", "ends_with", "1")], "ends_with(lower(p_name), '1')"),
+    ("filter_ends_with", _parts, _PARTS, [("p_name", "ends_with", "GET")], "ends_with(lower(p_name), 'get')"),
     ("filter_is_empty", _notes, _NOTES, [("note", "is_empty", "")], "trim(note) = ''"),
     ("filter_is_not_empty", _notes, _NOTES, [("note", "is_not_empty", "")], "trim(note) <> ''"),
     ("filter_gt", _lines, _LINES, [("l_quantity", "greater_than", "45")], "l_quantity > 45"),
@@ -134,14 +134,14 @@ query("source_column", "SELECT r_regionkey AS k, r_name AS name, 'region' AS sou
     lambda t: project.union([t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), F.lit("region").alias("source")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit("nation").alias("source"))])
 )
 query("sort_multi", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_acctbal DESC, c_custkey) AS place FROM customer")(
-    lambda t: (lambda c: profile.numbered(c, [*sort.sort_keys(c, "c_mktsegment"), *sort.sort_keys(c, "c_acctbal", False), "c_custkey"], "place").select("c_custkey", "place"))(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"))
+    lambda t: profile.numbered(*sort.projected(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), [("c_mktsegment", True), ("c_acctbal", False)], ["c_custkey"]), "place").select("c_custkey", "place")
 )
 _MIXED = "CASE WHEN p_size % 3 = 0 THEN p_size::VARCHAR WHEN p_size % 3 = 1 THEN '2020-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') ELSE p_brand END"
 query(
     "sort_mixed_cells",
     f"SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 1 ELSE 2 END, CASE WHEN p_size % 3 = 0 THEN p_size END NULLS FIRST, "
     f"CASE WHEN p_size % 3 = 1 THEN {_MIXED} END NULLS FIRST, CASE WHEN p_size % 3 = 2 THEN lower(p_brand) END NULLS FIRST, p_partkey) AS place FROM part",
-)(lambda t: (lambda p: profile.numbered(p, [*sort.sort_keys(p, "cell"), "p_partkey"], "place").select("p_partkey", "place"))(
+)(lambda t: (lambda p: profile.numbered(*sort.projected(p, [("cell", True)], ["p_partkey"]), "place").select("p_partkey", "place"))(
     t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("2020-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))).otherwise(F.col("p_brand")).alias("cell"))
 ))
 query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda t: sort.sort(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", False)], ties=["o_orderkey"]).limit(50))
@@ -313,7 +313,7 @@ query("three_way_conflicts", "SELECT c_custkey::VARCHAR AS k, 'seg' AS \"column\
 # --- set operations -------------------------------------------------------------------------------------------------
 
 query("set_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 0")(lambda t: t.supplier.select(F.col("s_nationkey").alias("k")).intersect(t.customer.where("c_acctbal > 0").select("c_nationkey")))
-query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")(lambda t: t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey")))
+query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")(lambda t: t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_totalprice > 300000").select("o_custkey")))
 query("set_except_all", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")(lambda t: t.orders.select(F.col("o_custkey").alias("k")).exceptAll(t.customer.select("c_custkey")))
 
 # --- profile, contracts, repairs ------------------------------------------------------------------------------------
@@ -365,7 +365,7 @@ query("row_inspection", "SELECT c_custkey, c_name, row_number FROM (SELECT *, ro
 )
 query("row_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS row_number FROM orders")(lambda t: profile.numbered(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]).drop("o_custkey"))
 query("repairs", "SELECT r_regionkey, CASE WHEN r_regionkey = (SELECT min(r_regionkey) FROM region) THEN 'repaired' ELSE r_name END AS r_name FROM region")(
-    lambda t: repair.repair(t.region, [{"row": 1, "column": "r_name", "expected_old": t.region.orderBy("r_regionkey").first()["r_name"], "new_value": "repaired"}], ["r_regionkey"])
+    lambda t: repair.repair(t.region, [{"row": 1, "column": "r_name", "expected_old": "AFRICA", "new_value": "repaired"}], ["r_regionkey"])
 )
 query("preview_rows", "SELECT least(100, count(*))::BIGINT AS n FROM events")(lambda t: sort.preview(t.events).agg(F.count("*").alias("n")))
 

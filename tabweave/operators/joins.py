@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import chain as chained
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +39,11 @@ def _keyed(df: DataFrame, keys: Sequence[str], form: str, side: str) -> DataFram
 
 
 def output_names(left: Sequence[str], right: Sequence[str], keys: Sequence[str], suffix: str = "_right") -> dict[str, str]:
-    """Output name of each right column but the keys."""
-    names, taken = {}, set(left)
-    for c in right:
-        if c in keys:
-            continue
-        new, n = c if c not in taken else f"{c}{suffix}", 1
-        while new in taken:
-            n += 1
-            new = f"{c}{suffix}{n}"
-        names[c] = new
-        taken.add(new)
+    """Output name of each right column but the keys: its own, with the suffix, or with the suffix and a number, whichever is free first."""
+    names: dict[str, str] = {}
+    for c in (c for c in right if c not in keys):
+        candidates = chained([c, c + suffix], (f"{c}{suffix}{n}" for n in count(2)))
+        names[c] = next(x for x in candidates if x not in left and x not in names.values())
     return names
 
 

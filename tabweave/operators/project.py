@@ -41,19 +41,20 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(checked_mapping(mapping, df.columns))
 
 
+#: Where a header is cut into words: signs between them, and a capital after a small letter or digit or before a small one.
+_CUT = re.compile(r"[\s._-]+|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z\d])(?=[A-Z])")
+#: What each mode (fixed values: the names) makes of a header without outer white space.
+_MODES = {
+    "none": lambda name: name,
+    "trim": lambda name: name.removeprefix("\ufeff"),
+    "lowercase": lambda name: name.removeprefix("\ufeff").lower(),
+    "snake_case": lambda name: "_".join(filter(None, _CUT.split(name.removeprefix("\ufeff")))).lower(),
+}
+
+
 def header(name: str, mode: str = "none") -> str:
     """A header's name in mode none, trim, lowercase or snake_case."""
-    name = name.strip()
-    if mode == "none":
-        return name
-    name = name.removeprefix("﻿")
-    if mode == "lowercase":
-        return name.lower()
-    if mode == "snake_case":
-        s = re.sub(r"[\s.-]+", "_", name)
-        s = re.sub(r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z\d])(?=[A-Z])", "_", s)
-        return re.sub(r"_+", "_", s).lower().strip("_")
-    return name
+    return _MODES.get(mode, _MODES["trim"])(name.strip())
 
 
 def normalized_headers(df: DataFrame, mode: str) -> DataFrame:

@@ -11,27 +11,35 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
-def sort_keys(df: DataFrame, name: str, ascending: bool = True, numeric_aware: bool = True, case_sensitive: bool = False, collation: str | None = None) -> list[Column]:
-    """Keys of one column: numbers before dates before words; descending turns all of that round."""
+def sort_keys(df: DataFrame, name: str, numeric_aware: bool = True, case_sensitive: bool = False, collation: str | None = None) -> list[Column]:
+    """Keys of one column: numbers before dates before words; nulls and blanks first. Descending turns all of that round."""
     kind, cell = df.schema[name].dataType, X.text(df, name)
     words = cell if case_sensitive else F.lower(cell)
     words = F.collate(words, collation) if collation else words
-    way = (lambda c: c.asc_nulls_first()) if ascending else (lambda c: c.desc_nulls_last())
     if not numeric_aware:
-        return [way(words)]
-    if isinstance(kind, T.NumericType):
-        return [way(F.col(X.quoted(name)))]
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return [way(F.col(X.quoted(name)))]
+        return [words]
+    if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return [F.col(X.quoted(name))]
     n, t = X.as_number(cell), X.as_timestamp(cell)
     bucket = F.when(n.isNotNull(), 0).when(t.isNotNull(), 1).otherwise(2)
-    return [way(bucket), way(n), way(F.when(n.isNull(), t)), way(F.when(n.isNull() & t.isNull(), words))]
+    return [bucket, n, F.when(n.isNull(), t), F.when(n.isNull() & t.isNull(), words)]
+
+
+def projected(df: DataFrame, by: Sequence[tuple[str, bool]], ties: Sequence[str] = (), **options) -> tuple[DataFrame, list[Column]]:
+    """df with its sort keys as columns of their own (named `_sort...`), and the order by them.
+
+    So numbers and dates are parsed once a row, not in each comparison.
+    """
+    keys = [(k, ascending) for name, ascending in by for k in sort_keys(df, name, **options)]
+    names = [f"_sort{i}" for i in range(len(keys))]
+    order = [F.col(n).asc_nulls_first() if ascending else F.col(n).desc_nulls_last() for n, (_, ascending) in zip(names, keys, strict=True)]
+    return df.withColumns({n: k for n, (k, _) in zip(names, keys, strict=True)}), [*order, *[F.col(X.quoted(c)).asc() for c in ties]]
 
 
 def sort(df: DataFrame, by: Sequence[tuple[str, bool]], ties: Sequence[str] = (), **options) -> DataFrame:
     """Rows by (column, ascending) pairs; ties in the order of the columns `ties`."""
-    keys = [k for name, ascending in by for k in sort_keys(df, name, ascending, **options)]
-    return df.orderBy(*keys, *[F.col(X.quoted(c)).asc() for c in ties])
+    keyed, order = projected(df, by, ties, **options)
+    return keyed.orderBy(*order).drop(*[c for c in keyed.columns if c not in df.columns])
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
