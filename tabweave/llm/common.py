@@ -24,16 +24,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-#: Bytes of an Arrow batch of texts on its way to or from Python, where the session sets no bound of its own.
+#: Bytes of an Arrow batch of texts on its way to Python, where the session sets no bound of its own.
 BATCH = 4 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
     """df; sees to it that no Arrow batch holds much more than BATCH bytes, however long the texts."""
     conf = df.sparkSession.conf
-    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        if name not in conf.getAll:
-            conf.set(name, str(BATCH))
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in conf.getAll:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     return df
 
 

@@ -101,8 +101,8 @@ def _fold(sketch: bytes, size: int) -> int:
 
 
 def small(sketch: bytes, n: int) -> bytes:
-    """The sketch folded to one or two bits a shingle: what large buckets are tested with first."""
-    size = max(8, (2 << (n.bit_length() - 1)) // 8)
+    """The sketch folded to one or two bits a shingle (half of that from 1024 on): what pairs and large buckets are tested with first."""
+    size = max(8, ((2 if n < 1024 else 1) << (n.bit_length() - 1)) // 8)
     return _fold(sketch, size).to_bytes(size, "little") if len(sketch) > size else sketch
 
 
@@ -396,9 +396,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     as_rep = lambda t, c: t.join(reps.select(F.col("id").alias(c), F.col("rep").alias("class_of")), c, "left").withColumn(c, F.coalesce("class_of", c)).drop("class_of")
     met = as_rep(as_rep(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "u"), "v")
     met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    with_sketch = lambda t, c: t.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    tested = lambda t: with_sketch(with_sketch(t, "u"), "v").mapInArrow(_sketch_test, "u long, v long")
-    links = _verified(own, tested(met), classes)
+    with_sketch = lambda t, c, size: t.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col(size).alias(f"s{c}")), c)
+    tested = lambda t, size="sketch": with_sketch(with_sketch(t, "u", size), "v", size).mapInArrow(_sketch_test, "u long, v long")
+    links = _verified(own, tested(keep(tested(met, "small"))), classes)
     buckets = keep(as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep").distinct())
     if not found.where("kind = 2").isEmpty():
         failed = labels = None
