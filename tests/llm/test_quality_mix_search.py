@@ -99,7 +99,7 @@ def test_mix_edge_tables(make_docs):
 
 
 def search(spark, rows, **options):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as score", "2 as rank", "3 as id", "4 as v")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as score", "2 as rank", "3 as id", "4 as v", "5 as block", "6 as home", "7 as far")
     return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **options).collect())
 
 
@@ -128,6 +128,40 @@ def test_top_k_against_all_pairs(spark):
     assert search(spark, rows, data_block=200, query_block=7) == want
 
 
+def test_covering_and_nesting_of_the_trees():
+    r = np.random.default_rng(8)
+    x = np.floor(256 * np.concatenate([r.normal(size=(3000, 6)), np.zeros((400, 6))]))
+
+    def look(node):
+        far = np.sqrt(((x[node.at] - node.centre) ** 2).sum(1))
+        assert far.max() <= node.radius + 1e-6 and any((x[i] == node.centre).all() for i in node.at)
+        if node.children:
+            assert sorted(np.concatenate([c.at for c in node.children]).tolist()) == sorted(node.at.tolist())
+            apart = [np.sqrt(((a.centre - b.centre) ** 2).sum()) for i, a in enumerate(node.children) for b in node.children[:i]]
+            assert min(apart, default=np.inf) > node.radius / topk.SHRINK - 1e-6
+            assert len(node.children) == topk.FAN or all(c.radius <= node.radius / topk.SHRINK + 1e-6 for c in node.children)
+        else:
+            assert len(node.at) <= topk.LEAF or node.radius == 0
+        for c in node.children:
+            look(c)
+
+    look(topk.build(x, np.arange(len(x)), 0))
+
+
+def test_thresholds_keep_queries_from_far_blocks():
+    """A threshold that no score of a far block reaches leaves nothing of it to visit; a lower one leaves no more than none does."""
+    r = np.random.default_rng(9)
+    centres = 20 * r.normal(size=(8, 4))
+    data = np.floor(256 * np.repeat(centres, 500, 0) + r.normal(size=(4000, 4)))
+    best = np.sort(data[:100] @ data.T, axis=1)
+    visited = []
+    for worst in (None, best[:, -200], best[:, -1] * 2):
+        s = topk.Search(data[:100], np.arange(100), data[500:], np.arange(500, 4000), 5, worst)
+        s.run()
+        visited.append(s.visited)
+    assert visited[0] >= visited[1] and visited[2] == 0
+
+
 def test_top_k_prunes_and_edge_tables(spark):
     r = np.random.default_rng(4)
     centres = 20 * r.normal(size=(8, 4))
