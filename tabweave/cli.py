@@ -151,7 +151,7 @@ def run(a: argparse.Namespace) -> int:
         print(json.dumps({"files": files, "output": output, "config": config.document()}, default=str, indent=2))
         return 0
     engine = Engine(session("tabweave-cli"), config)
-    put = lambda df: sinks.write(df, output, None, (), config.out_delimiter, config.out_encoding, config.quoting, config.header, config.line_ending, config.collision)
+    put = lambda df, order=(): sinks.write(df, output, [c for c in df.columns if c not in order], [df[o].asc_nulls_last() for o in order], config.out_delimiter, config.out_encoding, config.quoting, config.header, config.line_ending, config.collision)
     rows = lambda df: [r.asDict() for r in df.collect()]
     stats: dict = {}
     if a.export_schema:
@@ -176,9 +176,9 @@ def run(a: argparse.Namespace) -> int:
     elif a.preview:
         print(json.dumps(rows(engine.preview(files, a.preview_rows, a.preview_scan_rows)), ensure_ascii=False))
     elif merging:
-        put(engine.merge(a.three_way_base, a.three_way_ours, a.three_way_theirs, a.key_columns, a.conflict_resolution, form=a.key_normalization))
+        put(*engine.merged(a.three_way_base, a.three_way_ours, a.three_way_theirs, a.key_columns, a.conflict_resolution, form=a.key_normalization))
     elif a.join_on:
-        put(engine.join(files, a.join_on, a.join_type, a.key_normalization, a.join_conflict_policy))
+        put(*engine.joined(files, a.join_on, a.join_type, a.key_normalization, a.join_conflict_policy))
     elif a.watch:
         watch.loop(lambda: scan.expand(inputs), lambda: engine.process(scan.expand(inputs), output), a.watch_state or f"{output}.watch.json", a.watch_interval, a.watch_settle_seconds, config.identity(), a.watch_rounds)
     elif output == "-":

@@ -22,9 +22,10 @@ RESOLUTIONS = ("fail", "ours", "theirs", "base", "mark")
 _SIDES = ("base", "ours", "theirs")
 
 
-def _side(df: DataFrame, keys: Sequence[str], columns: Sequence[str], form: str, name: str) -> DataFrame:
+def _side(df: DataFrame, keys: Sequence[str], columns: Sequence[str], form: str, name: str, order: str | None = None) -> DataFrame:
     cells = [(X.text(df, c) if c in df.columns else F.lit("")).alias(c) for c in columns]
-    return df.select(*[p.alias(f"k{i}") for i, p in enumerate(key_parts(df, keys, form))], F.struct(*cells).alias(name))
+    place = [F.col(order).alias(f"{name}_order")] if order else []
+    return df.select(*[p.alias(f"k{i}") for i, p in enumerate(key_parts(df, keys, form))], F.struct(*cells).alias(name), *place)
 
 
 def problems(sides: dict[str, DataFrame], keys: Sequence[str], form: str = "trim-casefold") -> list[str]:
@@ -39,9 +40,9 @@ def problems(sides: dict[str, DataFrame], keys: Sequence[str], form: str = "trim
     return out
 
 
-def _joined(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], columns: Sequence[str], form: str) -> DataFrame:
+def _joined(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], columns: Sequence[str], form: str, order: str | None = None) -> DataFrame:
     on = [f"k{i}" for i in range(len(keys))]
-    sides = [_side(d, keys, columns, form, n) for d, n in zip((base, ours, theirs), _SIDES, strict=True)]
+    sides = [_side(d, keys, columns, form, n, order) for d, n in zip((base, ours, theirs), _SIDES, strict=True)]
     return sides[0].join(sides[1], on, "full").join(sides[2], on, "full")
 
 
@@ -62,17 +63,21 @@ def conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequenc
     return met.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.explode(F.array_compact(F.array(*cells))).alias("_c")).select(*keys, "_c.*")
 
 
-def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str] = (), resolution: str = "fail", form: str = "trim-casefold", cell_merge: bool = False, check: bool = True) -> DataFrame:
-    """The merged table as text; no keys: the first column. Raises JoinError for bad keys or, with 'fail', for conflicts."""
+def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str] = (), resolution: str = "fail", form: str = "trim-casefold", cell_merge: bool = False, check: bool = True, order: str | None = None) -> DataFrame:
+    """The merged table as text; no keys: the first column. Raises JoinError for bad keys or, with 'fail', for conflicts.
+
+    order: a column that holds each side's row order. The result then has base_order, ours_order and theirs_order after
+    its own columns; sorted by these, nulls last, it has the base's rows first, then what ours and theirs added.
+    """
     if resolution not in RESOLUTIONS:
         raise JoinError(f"unknown resolution: {resolution}")
     keys = list(keys) or base.columns[:1]
-    columns = list(dict.fromkeys(c for d in (base, ours, theirs) for c in d.columns))
+    columns = [c for c in dict.fromkeys(c for d in (base, ours, theirs) for c in d.columns) if c != order]
     if check and (bad := problems(dict(zip(_SIDES, (base, ours, theirs), strict=True)), keys, form)):
         raise JoinError("; ".join(bad))
-    if resolution == "fail" and (n := conflicts(base, ours, theirs, keys, form).count()):
+    if resolution == "fail" and (n := conflicts(*[d.drop(order) if order else d for d in (base, ours, theirs)], keys, form).count()):
         raise JoinError(f"{n} cells are in conflict")
-    met = _joined(base, ours, theirs, keys, columns, form)
+    met = _joined(base, ours, theirs, keys, columns, form, order)
     same, o_is_b, t_is_b = (F.col(a).eqNullSafe(F.col(b)) for a, b in (("ours", "theirs"), ("ours", "base"), ("theirs", "base")))
     whole = F.when(same, F.coalesce("ours", "theirs")).when(o_is_b, F.col("theirs")).when(t_is_b, F.col("ours"))
 
@@ -87,4 +92,4 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[st
 
     both = F.struct(*[cell(c) for c in columns])
     picked = met.withColumn("_row", F.when(~_both_changed(), whole).otherwise(both))
-    return picked.where("_row is not null").select("_row.*")
+    return picked.where("_row is not null").select("_row.*", *[f"{s}_order" for s in _SIDES if order])

@@ -58,10 +58,10 @@ def split_parts(c: Column, delimiter: str, parts: int) -> list[Column]:
     return [F.coalesce(X.strip(F.try_element_at(found, F.lit(i + 1))), F.lit("")) for i in range(parts)]
 
 
-def apply(df: DataFrame, transforms: Sequence[Sequence] = (), case: str = "none", empty_value: str = "", renames: dict[str, str] | None = None, fill_blank: bool = False) -> DataFrame:
-    """df as text columns, transformed; columns not named in a transform keep their place."""
+def apply(df: DataFrame, transforms: Sequence[Sequence] = (), case: str = "none", empty_value: str = "", renames: dict[str, str] | None = None, fill_blank: bool = False, order: Sequence[str] = ("_file", "_ord")) -> DataFrame:
+    """df as text columns, transformed; columns not named in a transform keep their place, those of its `order` go last as they are."""
     renames = renames or {}
-    hidden = [c for c in df.columns if c in ("_file", "_ord")]
+    hidden = [c for c in df.columns if c in order]
     source = {c: X.text(df, c) for c in df.columns if c not in hidden}
     out: dict[str, Column] = {}
     for c in source:

@@ -60,6 +60,10 @@ def _deduped(df: DataFrame, c: Config, names: Sequence[str], order: Sequence[str
     return dedupe.distinct(df, keys, c.dedupe_keep, order, c.case_sensitive)
 
 
+def _in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    return df.orderBy(*[F.col(o).asc_nulls_last() for o in order]).drop(*order)
+
+
 class Engine:
     """The entry points over files."""
 
@@ -88,8 +92,9 @@ class Engine:
             sinks.quarantine(bad, c.quarantine, files)
         out = self.frame(files)
         names = [n for n in out.columns if n not in ORDER]
-        order = [k for n, up in c.sort if n in names for k in sort.sort_keys(out, n, up, c.sort_numeric_aware, c.case_sensitive)] + [F.col(o) for o in ORDER if o in out.columns]
-        path = sinks.write(out, output, names, order, c.out_delimiter, c.out_encoding, c.quoting, c.header, c.line_ending, c.collision)
+        by = [(n, up) for n, up in c.sort if n in names]
+        keyed, order = sort.projected(out, by, [o for o in ORDER if o in out.columns], numeric_aware=c.sort_numeric_aware, case_sensitive=c.case_sensitive)
+        path = sinks.write(keyed, output, names, order, c.out_delimiter, c.out_encoding, c.quoting, c.header, c.line_ending, c.collision)
         stats = {"files": len(files), "rows_in": df.count(), "rows_out": out.count(), "bad_rows": bad.count(), "columns": names}
         if c.manifest:
             sinks.write_json(f"{path}.manifest.json", sinks.manifest(path, files, c.document(), names, stats))
@@ -124,22 +129,37 @@ class Engine:
         df, _ = self.scanned(files)
         return contract.errors(df, self.config.contract, ORDER, within=["_file"])
 
-    def join(self, files: Sequence[str], keys: Sequence[str], how: str = "inner", form: str = "trim-casefold", conflict_policy: str = "keep-both") -> DataFrame:
-        """The files joined in the given order; then filters, transforms and redaction."""
-        plain = dataclasses.replace(self.config, filters=(), source_column=None)
-        tables = [Engine(self.spark, plain).scanned([f])[0] for f in files]
-        tables = [t.select(*[F.col(X.quoted(n)) for n in scan.visible(t)]) for t in tables]
-        out = tables[0]
-        for t in tables[1:]:
-            if conflict_policy == "fail" and not joins.conflicts(out, t, keys, form).isEmpty():
+    def _ordered(self, engine: Engine, path: str, order: str) -> DataFrame:
+        """A file's columns and its row order as the column `order`."""
+        table = engine.scanned([path])[0]
+        return table.select(*[F.col(X.quoted(n)) for n in scan.visible(table)], F.struct(*ORDER).alias(order))
+
+    def joined(self, files: Sequence[str], keys: Sequence[str], how: str = "inner", form: str = "trim-casefold", conflict_policy: str = "keep-both") -> tuple[DataFrame, list[str]]:
+        """The files joined in the given order, then filters, transforms and redaction; and the names of the columns that
+        hold the result's order (nulls last): the left rows' own, matches in the right rows' order, unmatched right rows last."""
+        plain = Engine(self.spark, dataclasses.replace(self.config, filters=(), source_column=None))
+        order = [f"_order{i}" for i in range(len(files))]
+        out, *rest = [self._ordered(plain, f, o) for f, o in zip(files, order, strict=True)]
+        for t, o in zip(rest, order[1:], strict=True):
+            if conflict_policy == "fail" and not joins.conflicts(out.drop(*order), t.drop(o), keys, form).isEmpty():
                 raise joins.JoinError("shared columns differ")
             out = joins.join(out, t, keys, how, form)
-        out = transforms.apply(filters.apply(out, self.config.filters, self.config.filter_logic), self.config.transforms, self.config.case)
-        return transforms.redact(out, self.config.redaction_token) if self.config.redact else out
-
-    def merge(self, base: str, ours: str, theirs: str, keys: Sequence[str] = (), resolution: str = "fail", **options) -> DataFrame:
-        tables = [self.scanned([f])[0] for f in (base, ours, theirs)]
-        return merge.merge(*[t.select(*[F.col(X.quoted(n)) for n in scan.visible(t)]) for t in tables], keys, resolution, **options)
+        out = transforms.apply(filters.apply(out, self.config.filters, self.config.filter_logic), self.config.transforms, self.config.case, order=order)
+        order = [o for o in order if o in out.columns]
+        return (transforms.redact(out, self.config.redaction_token, [c for c in out.columns if c not in order]) if self.config.redact else out), order
+
+    def join(self, *args, **options) -> DataFrame:
+        """The rows of `joined` in their order."""
+        return _in_order(*self.joined(*args, **options))
+
+    def merged(self, base: str, ours: str, theirs: str, keys: Sequence[str] = (), resolution: str = "fail", **options) -> tuple[DataFrame, list[str]]:
+        """The three-way merge, and the names of the columns that hold its order: base rows first, then those that ours and theirs added."""
+        out = merge.merge(*[self._ordered(self, f, "_order") for f in (base, ours, theirs)], keys, resolution, order="_order", **options)
+        return out, ["base_order", "ours_order", "theirs_order"]
+
+    def merge(self, *args, **options) -> DataFrame:
+        """The rows of `merged` in their order."""
+        return _in_order(*self.merged(*args, **options))
 
     def sql(self, files: Sequence[str], text: str, **bounds) -> tuple[list, sql_lane.Report]:
         """A query over typed views of the files."""

@@ -199,3 +199,25 @@ def test_throughput_floor(spark, tmp_path):
     began = time.time()
     Engine(spark, Config(dedupe=False, manifest=False)).process([a], str(tmp_path / "o.csv"))
     assert time.time() - began < 30
+
+
+def test_joins_and_merges_keep_their_order(spark, tmp_path):
+    from tabweave import cli
+
+    a = put(tmp_path / "a.csv", "id,l\n3,a\n1,b\n,c\n2,d\n3,e\n9,f\n")
+    b = put(tmp_path / "b.csv", "id,r\n7,u\n3,v\n2,w\n3,x\n,y\n6,z\n")
+    rows = [("3", "a", "v"), ("3", "a", "x"), ("1", "b", ""), ("", "c", ""), ("2", "d", "w"), ("3", "e", "v"), ("3", "e", "x"), ("9", "f", ""), ("7", "", "u"), ("", "", "y"), ("6", "", "z")]
+    matched = [r for r in rows if r[1] and r[2]]
+    for how, want in (("outer", rows), ("inner", matched), ("left", [r for r in rows if r[1]]), ("right", matched + [r for r in rows if not r[1]])):
+        assert [tuple(x or "" for x in r) for r in Engine(spark).join([a, b], ["id"], how).collect()] == want, how
+    assert [r["l"] for r in Engine(spark).join([a, b], ["id"], "anti").collect()] == ["b", "c", "f"]
+    base = put(tmp_path / "base.csv", "id,v\n5,a\n1,b\n4,c\n")
+    ours = put(tmp_path / "ours.csv", "id,v\n9,n\n1,b\n5,changed\n4,c\n8,m\n")
+    theirs = put(tmp_path / "theirs.csv", "id,v\n0,t\n4,c\n1,b\n5,a\n")
+    want = [("5", "changed"), ("1", "b"), ("4", "c"), ("9", "n"), ("8", "m"), ("0", "t")]
+    assert [tuple(r) for r in Engine(spark).merge(base, ours, theirs, ["id"]).collect()] == want
+    out = str(tmp_path / "out.csv")
+    assert cli.main(["--three-way-base", base, "--three-way-ours", ours, "--three-way-theirs", theirs, "--key-columns", "id", "--output", out]) == 0
+    assert open(out).read().split() == ["id,v"] + [",".join(r) for r in want]
+    assert cli.main(["--inputs", a, b, "--join-on", "id", "--join-type", "outer", "--output", out]) == 0
+    assert open(out).read().splitlines() == ["id,l,r"] + [",".join(r) for r in rows]
