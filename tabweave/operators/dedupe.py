@@ -51,8 +51,8 @@ def aggregate(df: DataFrame, columns: Sequence[str], mode: str, order_by: Sequen
     return df.groupBy(*_keys(df, columns, case_sensitive)).agg(*cells).select(*[F.col(X.quoted(c)) for c in df.columns])
 
 
-def preview(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], case_sensitive: bool = False, keep: str = "first", rows_a_group: int = 100) -> DataFrame:
-    """Keys that more than one row carries: key, rows, kept row's order and the first `rows_a_group` orders."""
+def preview(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], case_sensitive: bool = False, keep: str = "first") -> DataFrame:
+    """Keys that more than one row carries: key, number of rows and the kept row's order."""
     order = _order(order_by)
     keys = _keys(df, columns, case_sensitive)
     kept = F.max(order) if keep == "last" else F.min(order)

@@ -7,6 +7,7 @@ in it, results are bounded, and a statement can be given a time limit.
 from __future__ import annotations
 
 import hashlib
+import re
 import threading
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -23,6 +24,12 @@ class SqlError(ValueError):
         self.code = code
 
 
+#: Functions that run methods of the JVM.
+_METHODS = ("reflect", "java_method", "try_reflect")
+#: Comments and string literals.
+_ASIDE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+
+
 @dataclass
 class Report:
     query_sha256: str
@@ -44,6 +51,8 @@ def statement(spark: SparkSession, query: str) -> str:
     first = text.lstrip("( \n\t").split(None, 1)
     if not first or first[0].split("(")[0].lower() not in ("select", "with", "values", "from", "table"):
         raise SqlError("read_only_required", "only queries are admitted")
+    if re.search(rf"\b({'|'.join(_METHODS)})\s*\(", _ASIDE.sub(" ", text).replace("`", ""), re.I):
+        raise SqlError("read_only_required", "functions that run methods of the JVM are not admitted")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except ParseException as e:

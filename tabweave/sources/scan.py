@@ -27,6 +27,8 @@ DELIMITED = {".csv", ".tsv", ".txt"}
 LINES = {".jsonl", ".ndjson"}
 KNOWN = DELIMITED | LINES | {".parquet", ".xlsx"}
 HIDDEN = ("_file", "_ord", "_bad")
+#: Bytes from which a delimited file without quoted line breaks is read by many tasks.
+SPLIT = 64 << 20
 
 
 class InputError(ValueError):
@@ -98,6 +100,13 @@ def detect(path: str) -> Dialect:
         return Dialect(best, encoding, 0.45) if first.count(best) else Dialect(",", encoding, 0.2)
 
 
+def broken_lines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether the file has to be read in one piece: as it is small, of wide characters, or has a line with an odd number of quotes."""
+    if os.path.getsize(path) <= SPLIT or encoding.lower().startswith("utf-16"):
+        return True
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
 def _order(parquet: bool = False) -> Column:
     return F.struct(F.col("_metadata.row_index").alias("a"), F.lit(0).cast("long").alias("b")) if parquet else F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b"))
 
@@ -136,7 +145,7 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
             schema = T.StructType([T.StructField("_file", T.IntegerType()), T.StructField("_ord", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), T.StructField("_bad", T.StringType())])
             return spark.createDataFrame([], schema)
         fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_corrupt", T.StringType())]
-        df = spark.read.csv(path, schema=T.StructType(fields), header=True, enforceSchema=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+        df = spark.read.csv(path, schema=T.StructType(fields), header=True, enforceSchema=True, sep=delimiter, quote='"', escape='"', multiLine=broken_lines(spark, path, encoding), encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         cells = [(F.coalesce(F.col(f"c{i}"), F.lit("")), n) for i, n in enumerate(names)]
         # a scan must not be asked for the malformed record alone, so the mark reads the first cell too
         order, bad = _order(), F.when(F.col("_corrupt").isNotNull(), F.concat("_corrupt", F.substring(F.coalesce("c0", F.lit("")), 1, 0)))
