@@ -427,8 +427,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.unionAll(lost.select(none.alias(key), "n_shingles", none.alias("component_id")))
 
 
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """If texts share keys: (_text_id, _text_key, _text_h1, _text_h2) of each text, ids in order of the keys."""
+    t = blank_null(text)
+    each = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_text_key"), F.xxhash64(t).alias("_text_h1"), F.xxhash64(F.lit(1), t).alias("_text_h2"))
+    by_key = each.groupBy("_text_key").agg(F.min("_text_h1").alias("lo"), F.max("_text_h1").alias("hi"))
+    if by_key.where("lo <> hi").isEmpty():
+        return None
+    order = ("_text_key", "_text_h1", "_text_h2")
+    each = keep(each.distinct().repartitionByRange(*order).sortWithinPartitions(*order))
+    return keep(each.select(F.monotonically_increasing_id().alias("_text_id"), *order))
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns: one row of each component, that of its smallest key; rows with a null key stay."""
+    """docs, all columns: one row of each component, that of its smallest key; rows with a null key stay, and texts that share a key are apart."""
+    names = _named(docs, key, text)
+    if names is None:
+        return _one_each(docs, key, text)
+    t = F.coalesce(docs[text], F.lit(""))
+    same = (docs[key].cast("long") == names["_text_key"]) & (F.xxhash64(t) == names["_text_h1"]) & (F.xxhash64(F.lit(1), t) == names["_text_h2"])
+    numbered = docs.join(_beside(names), same, "left").select(*[docs[c] for c in docs.columns], "_text_id")
+    return _one_each(numbered, "_text_id", text).drop("_text_id")
+
+
+def _one_each(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = keep(join(docs, key, text))
     gone = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone_key")).distinct()
     out = docs.join(_beside(keep(gone)), docs[key] == F.col("_gone_key"), "left_anti")
