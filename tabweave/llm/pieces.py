@@ -263,6 +263,10 @@ class Encoder:
             self._forget(start, flat)
         return ids, offsets, strings
 
+    def clear(self) -> None:
+        """Forgets all chunks: a worker that lives on for other work holds the vocabulary only."""
+        self.known, self.hits = _Known(self.words), np.zeros(0, np.int64)
+
     def _forget(self, start: np.ndarray, flat: np.ndarray) -> None:
         """Keeps the chunks used most often, half as many as there may be."""
         least = max(2, int(np.partition(self.hits, -self.capacity // 2)[-self.capacity // 2]))
@@ -281,5 +285,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per Python worker, so that later tasks find the chunks of earlier ones."""
+    """One per Python worker."""
     return Encoder(path)
