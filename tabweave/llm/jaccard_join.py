@@ -31,8 +31,9 @@ the start, and later all equal sets (128-bit digest) are one class.
 
 Defined results: null text counts as empty; texts without words have an empty set
 and link with nothing; a row with a null key gets a null component and takes no
-part; rows that repeat a key are one node, each with a row of its own in the result;
-other columns are not read.
+part; rows that repeat a key are one node, each with a row of its own in the result
+(`deduplicated` keeps texts that share a key apart); texts of any length are read whole;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@
 No ids are made.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); an input row gives
-one output row even where keys repeat or are null; other columns are not read.
+one output row even where keys repeat or are null; texts of any length are read whole;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
