@@ -37,11 +37,11 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 2 << 20):
             flat, offsets, strings = e.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), decoded is not None)
             batch = _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
             yield _with(batch, decoded, pa.array(strings, pa.string())) if decoded else batch
-        e.clear()
+        e.shrink()
 
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))

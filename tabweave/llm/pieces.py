@@ -260,16 +260,17 @@ class Encoder:
         hits[: len(self.hits)] += self.hits
         self.hits = hits
         if len(self.known) > self.capacity:
-            self._forget(start, flat)
+            self._forget(start, flat, self.capacity // 2)
         return ids, offsets, strings
 
-    def clear(self) -> None:
-        """Forgets all chunks: a worker that lives on for other work holds the vocabulary only."""
-        self.known, self.hits = _Known(self.words), np.zeros(0, np.int64)
+    def shrink(self, most: int = 50_000) -> None:
+        """Keeps few chunks, some 20 MB: for a worker that lives on for other work."""
+        if len(self.known) > most:
+            self._forget(np.frombuffer(self.known.start, dtype=np.int64).copy(), np.frombuffer(self.known.flat, dtype=np.int32).copy(), most)
 
-    def _forget(self, start: np.ndarray, flat: np.ndarray) -> None:
-        """Keeps the chunks used most often, half as many as there may be."""
-        least = max(2, int(np.partition(self.hits, -self.capacity // 2)[-self.capacity // 2]))
+    def _forget(self, start: np.ndarray, flat: np.ndarray, most: int) -> None:
+        """Keeps the chunks used most often."""
+        least = max(2, int(np.partition(self.hits, -most)[-most]))
         old, often = self.known, self.hits >= least
         chunks = [c for c, k in old.items() if often[k]]
         at = np.array([old[c] for c in chunks], np.int64)
