@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard_join, mixing, passages, repetition, sql, token_counts, topk, toxicity, url_filter
+from . import bpe, conversation_trie, hard_negatives, html_text, jaccard_join, mixing, passages, permutation, repetition, sql, token_counts, topk, toxicity, url_filter
 from .common import keep, table
 
 
@@ -62,6 +62,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(turns))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -73,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_permutation_index": op13_permutation_index,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": sql.OP4, "op5_topk": sql.OP5, "op6_mixing": sql.OP6, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": sql.OP4, "op5_topk": sql.OP5, "op6_mixing": sql.OP6, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op11_prefix_trie": sql.OP11, "op12_hard_negatives": sql.OP12}

@@ -106,3 +106,43 @@ f AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_fraction <= 0.4 AND NOT too_long AS kept, covered_fraction FROM b
 """
+
+# the checksum goes bit by bit over the digits; a node is the digests of its turns, one after the other
+OP11 = """
+WITH RECURSIVE
+o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, x:
+    list_reduce(list_prepend(xor(s, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, o.i AS part, 0 AS own, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.i <= h
+  UNION ALL SELECT c.conv_id, o.i, 1, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, part) AS d, md5(strlen(role)::VARCHAR || ':' || role || text) AS turn, strlen(text) AS size FROM r),
+p AS (SELECT conv_id, d, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d) AS key, size FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY key),
+e AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, d) AS key FROM p GROUP BY conv_id) GROUP BY key),
+k AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+u AS (SELECT key AS of, unnest(list_transform(range(0, depth + 1), lambda i: left(key, (32 * i)::INT))) AS key FROM n),
+s AS (
+  SELECT u.key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM u JOIN n ON n.key = u.of LEFT JOIN k ON k.key = u.of GROUP BY u.key)
+SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN a.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN n a ON a.key = left(n.key, greatest(length(n.key) - 32, 0)) JOIN s ON s.key = n.key LEFT JOIN k ON k.key = n.key LEFT JOIN e ON e.key = n.key
+"""
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_inner_product(a.v, d.v)::BIGINT AS score
+  FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 100 = 0),
+g AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM g JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
