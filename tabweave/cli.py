@@ -132,8 +132,9 @@ def run(a: argparse.Namespace) -> int:
     if a.replay:
         config, inputs, output = workflow.replayed(workflow.load(a.replay))
         inputs, output = a.inputs or inputs, a.output or output
+    spark = session("tabweave-cli")
     merging = a.three_way_base and a.three_way_ours and a.three_way_theirs
-    files = [scan.staged_stdin(a.stdin_format) if f == "-" else f for f in scan.expand(inputs)]
+    files = [scan.staged_stdin(a.stdin_format) if f == "-" else f for f in scan.expand(inputs, spark=spark)]
     if not files and not merging:
         print("no input files", file=sys.stderr)
         return 1
@@ -150,7 +151,7 @@ def run(a: argparse.Namespace) -> int:
     if a.dry_run:
         print(json.dumps({"files": files, "output": output, "config": config.document()}, default=str, indent=2))
         return 0
-    engine = Engine(session("tabweave-cli"), config)
+    engine = Engine(spark, config)
     put = lambda df, order=(): sinks.write(df, output, [c for c in df.columns if c not in order], [df[o].asc_nulls_last() for o in order], config.out_delimiter, config.out_encoding, config.quoting, config.header, config.line_ending, config.collision)
     rows = lambda df: [r.asDict() for r in df.collect()]
     stats: dict = {}

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import contract, dedupe, filters, joins, merge, profile, project, repair, reshape, sort, transforms
-from ..sources import scan, sinks
+from ..sources import files, scan, sinks
 from . import sql_lane
 from .config import Config
 
@@ -170,15 +169,13 @@ class Engine:
 
 
 def typed(spark: SparkSession, path: str) -> DataFrame:
-    """A file with inferred types; an empty one has the column `__empty_input`."""
-    suffix = Path(path).suffix.lower()
-    if Path(path).stat().st_size == 0:
+    """A file with inferred types; an empty one has the column `__empty_input`, a malformed row is an error."""
+    suffix = files.suffix(path)
+    if files.length(spark, path) == 0:
         return spark.createDataFrame([], "__empty_input string")
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix in scan.LINES:
         return spark.read.json(path)
-    if suffix == ".xlsx":
-        return scan.read(spark, path).drop(*scan.HIDDEN)
-    d = scan.detect(path)
-    return spark.read.csv(path, header=True, inferSchema=True, sep=d.delimiter, encoding=d.encoding, quote='"', escape='"', multiLine=True, mode="FAILFAST")
+    df, _ = scan.judged(scan.read(spark, path, trim=False), "fail")
+    return df.drop(*scan.HIDDEN) if suffix == ".xlsx" else scan.typed(df)

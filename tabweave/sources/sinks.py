@@ -144,7 +144,7 @@ def quarantine(bad: DataFrame, path: str, files: Sequence[str], most: int = 10_0
     """At most `most` bad rows, first in order, as JSON Lines."""
     rows = bad.orderBy("_file", "_ord").limit(most).collect()
     target = Path(path).absolute()
-    text = "".join(json.dumps({"file": files[r["_file"]], "reason": "malformed row", "raw": r["raw"]}, ensure_ascii=False) + "\n" for r in rows)
+    text = "".join(json.dumps({"file": files[r["_file"]], "line": r["line"], "reason": r["reason"], "raw": r["raw"]}, ensure_ascii=False) + "\n" for r in rows)
     with tempfile.NamedTemporaryFile("w", dir=target.parent, delete=False, encoding="utf-8") as f:
         f.write(text)
     os.replace(f.name, target)

@@ -1,16 +1,18 @@
-"""Workbooks: the active sheet through Spark's Python data source, and a writer for small results."""
+"""Workbooks: the active sheet, unpacked in a task, and a writer for small results."""
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -36,7 +38,7 @@ def _sheet(z: zipfile.ZipFile) -> str:
     raise ValueError("the workbook has no active sheet")
 
 
-def rows(path: str) -> Iterator[list[str]]:
+def rows(path: str | io.BytesIO) -> Iterator[list[str]]:
     """Cell texts of the active sheet, row by row; formulas give their cached value."""
     with zipfile.ZipFile(path) as z:
         if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
@@ -63,40 +65,25 @@ def rows(path: str) -> Iterator[list[str]]:
                 row.clear()
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        found = rows(self.path)
-        next(found, None)
-        for i, r in enumerate(found):
-            yield (*[*r, *[""] * self.width][: self.width], i)
-
-
-class Workbook(DataSource):
-    """Format `workbook`: option path."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def _header(self) -> list[str]:
-        return [h or f"column_{i + 1}" for i, h in enumerate(next(rows(self.options["path"]), []))]
-
-    def schema(self) -> StructType:
-        return StructType([StructField(h, StringType()) for h in dict.fromkeys(self._header())] + [StructField("_row", LongType())])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], len(schema) - 1)
-
-
 def workbook(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Workbook)
-    return spark.read.format("workbook").option("path", path).load()
+    """The active sheet's rows as texts, with their number `_row`; the first row has the names. One task a workbook."""
+    book = spark.read.format("binaryFile").load(path)
+    size = book.agg(F.max("length")).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                found = enumerate(rows(io.BytesIO(content.as_py())))
+                while some := list(itertools.islice(found, 2048)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([r for _, r in some], pa.list_(pa.string()))], names=["_row", "cells"])
+
+    table = book.select("content").mapInArrow(opened, "_row long, cells array<string>")
+    first = table.where("_row = 0").first()
+    names = [h or f"column_{i + 1}" for i, h in enumerate(first["cells"] if first else [])]
+    cells = {h: F.coalesce(F.get("cells", i), F.lit("")).alias(h) for i, h in enumerate(names)}
+    return table.where("_row > 0").select(*cells.values(), (F.col("_row") - 1).alias("_row"))
 
 
 def _letters(i: int) -> str:

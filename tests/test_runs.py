@@ -223,22 +223,6 @@ def test_joins_and_merges_keep_their_order(spark, tmp_path):
     assert open(out).read().splitlines() == ["id,l,r"] + [",".join(r) for r in rows]
 
 
-def test_large_files_are_split_unless_lines_are_broken(spark, tmp_path, monkeypatch):
-    whole = put(tmp_path / "whole.csv", "id,v\n" + "".join(f'{i},"x, {i}"\n' for i in range(5000)))
-    broken = put(tmp_path / "broken.csv", 'id,v\n1,"a\nb"\n2,c\n')
-    assert scan.broken_lines(spark, whole, "utf-8")
-    monkeypatch.setattr(scan, "SPLIT", 0)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
-    try:
-        assert not scan.broken_lines(spark, whole, "utf-8") and scan.broken_lines(spark, broken, "utf-8") and scan.broken_lines(spark, whole, "utf-16")
-        df = scan.read(spark, whole)
-        assert df.rdd.getNumPartitions() > 2 and [r["v"] for r in df.orderBy("_ord").collect()] == [f"x, {i}" for i in range(5000)]
-        assert [r["v"] for r in scan.read(spark, broken).orderBy("_ord").collect()] == ["a\nb", "c"]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-
-
 def test_sql_lane_refuses_methods_of_the_jvm(spark):
     df = spark.createDataFrame([(1,)], "a int")
     for text in ("SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "select `java_method` /* x */ ('a', 'b')", "WITH t AS (SELECT TRY_REFLECT('a','b') x) SELECT * FROM t"):
