@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_null, slices, text_batches
+from .common import blank_null, slices, text_batches, tidy
 from .pieces import default_tokenizer, encoder, vocabulary
 
 
@@ -44,7 +44,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
         e.shrink()
 
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *added]))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", tokenizer:
             rows = batch.column(batch.schema.get_field_index(ids))
             yield _with(batch, decoded, pa.array([" ".join([strings[i] for i in x.values.to_pylist()]) if x.is_valid else "" for x in rows], pa.string()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,3 +54,36 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
         size = max(1, batch.num_rows * limit // max(limit, batch.column(batch.schema.get_field_index(text)).nbytes))
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+def give_back() -> None:
+    """Memory that Python and Arrow have freed goes back to the system, where the allocator can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, in a worker that keeps no freed memory when a task ends: it may wait for long, or for other stages' tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """As tidy, for applyInArrow."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return tidied

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, tidy
 
 
 #: Edges up to which one task finds the components (16 bytes an edge).
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = keep(edges)
     before, state = None, _state(edges)
     if state[0] <= ONE_TASK:
-        return keep(edges.coalesce(1).mapInArrow(_united, "id long, component long"))
+        return keep(edges.coalesce(1).mapInArrow(tidy(_united), "id long, component long"))
     while state != before:
         edges = keep(_link(_link(edges, larger=True), larger=False))
         before, state = state, _state(edges)

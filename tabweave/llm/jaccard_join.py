@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_null, keep, slices, text_batches
+from .common import blank_null, keep, slices, text_batches, tidy, tidy_group
 from .graph import components
 from .packing import KEY, joined, pack_ids, pack_keys, unpack_ids, unpack_keys
 from .shingles import mix, sets
@@ -272,7 +272,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 
     def sets_of(which: DataFrame) -> DataFrame:
         own = docs.join(_beside(which.withColumnRenamed("rep", "id")), "id").select("id", "h1", "h2", "text")
-        return own.mapInArrow(shingled, "id long, s array<long>")
+        return own.mapInArrow(tidy(shingled), "id long, s array<long>")
 
     # each right-hand set goes to its pair's left id once; left ids are few, and a hot one is split by the join
     few = _beside(pairs)
@@ -380,7 +380,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, failed: Da
                     found.update(dict.fromkeys(_chosen(a, b, far, label[at], rep[at], gone, forest)))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return met.select("members").mapInArrow(test, "u long, v long").distinct()
+    return met.select("members").mapInArrow(tidy(test), "u long, v long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,7 +388,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     df = text_batches(docs).select(F.col(key).cast("long").alias("id"), blank_null(text).alias("text"))
     own = df.where("id is not null")
     parts = docs.count() // DOCS_A_PART + 1
-    found = keep(own.mapInArrow(_map(parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))
+    found = keep(own.mapInArrow(tidy(_map(parts)), _PACKED).groupBy("part").applyInArrow(tidy_group(_meet), _FOUND))
     nodes = found.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2", "sketch", "small")
     classes = keep(nodes.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("sketch").alias("sketch"), F.max("small").alias("small")))
     same = keep(nodes.where("n > 0").join(classes.drop("sketch", "small"), ["n", "h1", "h2"]).select("id", "rep").distinct())
@@ -398,7 +398,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = as_rep(as_rep(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "u"), "v")
     met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     with_sketch = lambda t, c, size: t.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col(size).alias(f"s{c}")), c)
-    tested = lambda t, size="sketch": with_sketch(with_sketch(t, "u", size), "v", size).mapInArrow(_sketch_test, "u long, v long")
+    tested = lambda t, size="sketch": with_sketch(with_sketch(t, "u", size), "v", size).mapInArrow(tidy(_sketch_test), "u long, v long")
     links = _verified(own, tested(keep(tested(met, "small"))), classes)
     buckets = keep(as_rep(found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("rep")), "rep").distinct())
     if not found.where("kind = 2").isEmpty():
@@ -423,7 +423,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets(b.column(0).to_pylist())], pa.int64())], names=["n_shingles"])
 
-    lost = df.where("id is null").select("text").mapInArrow(sizes, "n_shingles long")
+    lost = df.where("id is null").select("text").mapInArrow(tidy(sizes), "n_shingles long")
     none = F.lit(None).cast("long")
     return out.unionAll(lost.select(none.alias(key), "n_shingles", none.alias("component_id")))
 

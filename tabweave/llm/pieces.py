@@ -269,9 +269,10 @@ class Encoder:
             self._forget(np.frombuffer(self.known.start, dtype=np.int64).copy(), np.frombuffer(self.known.flat, dtype=np.int32).copy(), most)
 
     def _forget(self, start: np.ndarray, flat: np.ndarray, most: int) -> None:
-        """Keeps the chunks used most often."""
-        least = max(2, int(np.partition(self.hits, -most)[-most]))
-        old, often = self.known, self.hits >= least
+        """Keeps the chunks used most often, `most` of them and no more where many are used alike."""
+        old, often = self.known, np.zeros(len(self.hits), bool)
+        often[np.argpartition(self.hits, -most)[-most:]] = True
+        often &= self.hits >= 2
         chunks = [c for c, k in old.items() if often[k]]
         at = np.array([old[c] for c in chunks], np.int64)
         lengths = start[at + 1] - start[at]

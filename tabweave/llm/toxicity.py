@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank_null, slices, text_batches
+from .common import blank_null, slices, text_batches, tidy
 
 SAMPLE, TRAIN_CHARS = 2000, 16_000_000
 WINDOW, LEVEL, BASE_BYTES, EXTRA_WORDS, BASE_WINDOWS = 8, 3, 32 << 10, 100, 60_000
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))) if len(w) else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(p)], names=["key", "score"])
 
-    out = df.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    out = df.mapInArrow(tidy(run), f"key {kind}, score double").withColumnRenamed("key", key)
     return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -194,4 +194,4 @@ def filtered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = _features(model, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(w[0] + x @ w[1:] < 0)) if len(w) else batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
