@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import contract, dedupe, filters, joins, merge, profile, project, repair, reshape, sort, transforms
+from .operators import contract, dedupe, filters, joins, merge, profile, project, ranges, repair, reshape, sort, transforms
 from .plans import sql_lane
+from .session import shared_folder
+from .sources import scan, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -229,6 +232,10 @@ for _mode in ("sum", "max", "min"):
 query("dedupe_aggregate_concat", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, '; ' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1")(
     lambda t: dedupe.aggregate(t.orders.select("o_custkey", F.col("o_orderkey").cast("string").alias("keys"), "o_orderkey"), ["o_custkey"], "concat", ["o_orderkey"]).select("o_custkey", "keys")
 )
+query(
+    "dedupe_aggregate_text_sum",
+    "SELECT o_custkey, CASE WHEN arg_min(v, o_orderkey) = 'n/a' THEN 'n/a' ELSE sum(CASE WHEN v <> 'n/a' THEN v::BIGINT END)::BIGINT::VARCHAR END AS v FROM (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE (o_orderkey % 100)::VARCHAR END AS v FROM orders) GROUP BY 1",
+)(lambda t: dedupe.aggregate(t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise((F.col("o_orderkey") % 100).cast("string")).alias("v")), ["o_custkey"], "sum", ["o_orderkey"]).select("o_custkey", "v"))
 query("dedupe_preview", "SELECT user_id, event_type, count(*) AS n_rows, min(event_id) AS kept FROM events GROUP BY 1, 2 HAVING count(*) > 1")(
     lambda t: dedupe.preview(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"]).withColumn("kept", F.col("kept.event_id"))
 )
@@ -310,6 +317,38 @@ query("three_way_conflicts", "SELECT c_custkey::VARCHAR AS k, 'seg' AS \"column\
     lambda t: merge.conflicts(*_edits(t), ["k"]).where("`column` = 'seg' and ours <> '' and theirs <> ''")
 )
 
+# --- ranges ---------------------------------------------------------------------------------------------------------
+
+
+def _spans(t):
+    days = F.make_dt_interval((F.col("o_orderkey") % 40).cast("int"))
+    return t.orders.select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderdate").alias("opened"), (F.col("o_orderdate") + days).alias("closed"))
+
+
+def _moments(t):
+    # events of 2024 as of 25 years before, among the orders
+    return t.events.select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 25 YEAR")).alias("moment"))
+
+
+_RANGES = "(SELECT event_id, user_id, ts - INTERVAL 25 YEAR AS moment FROM events) e {} JOIN (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate AS opened, o_orderdate + to_days((o_orderkey % 40)::INT) AS closed FROM orders) o ON e.user_id = o.user_id AND moment BETWEEN opened AND closed"
+query("interval_join", "SELECT event_id, o_orderkey FROM " + _RANGES.format(""))(lambda t: ranges.interval_join(_moments(t), _spans(t), "moment", "opened", "closed", ["user_id"]).select("event_id", "o_orderkey"))
+query("interval_join_left", "SELECT event_id, o_orderkey FROM " + _RANGES.format("LEFT"))(lambda t: ranges.interval_join(_moments(t), _spans(t), "moment", "opened", "closed", ["user_id"], "left").select("event_id", "o_orderkey"))
+
+# --- files: written by all tasks, read again ------------------------------------------------------------------------
+
+
+def _again(df: DataFrame, kind: str) -> DataFrame:
+    """df's columns as texts, from a folder that it was written to in the shared folder."""
+    uri = f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    sinks.write_folder(df, uri, kind)
+    found = scan.expand([uri], spark=df.sparkSession)
+    return scan.read_all(df.sparkSession, found, trim=False)[0].drop(*scan.HIDDEN)
+
+
+query("files_delimited", "SELECT doc_id::VARCHAR AS doc_id, text, lang FROM documents")(lambda t: _again(t.documents.select("doc_id", "text", "lang"), "csv"))
+query("files_json_lines", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations")(lambda t: _again(t.conversations.select("conv_id", "turn", "role", "text"), "jsonl"))
+query("files_parquet", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part")(lambda t: _again(t.part.select("p_partkey", "p_name", "p_size"), "parquet"))
+
 # --- set operations -------------------------------------------------------------------------------------------------
 
 query("set_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 0")(lambda t: t.supplier.select(F.col("s_nationkey").alias("k")).intersect(t.customer.where("c_acctbal > 0").select("c_nationkey")))
@@ -324,6 +363,12 @@ query(
          count(*) - count(DISTINCT o_orderstatus) AS duplicate_count, false AS "unique", 'string' AS type, 1.0::DOUBLE AS confidence, 0::BIGINT AS numeric_count, NULL::DOUBLE AS numeric_min, NULL::DOUBLE AS numeric_max, NULL::DOUBLE AS numeric_mean FROM orders
        UNION ALL SELECT 'o_orderkey', count(*), count(*), 0, 0, count(DISTINCT o_orderkey), count(*) - count(DISTINCT o_orderkey), true, 'integer', 1.0, count(*), min(o_orderkey)::DOUBLE, max(o_orderkey)::DOUBLE, sum(o_orderkey)::DOUBLE / count(*) FROM orders""",
 )(lambda t: profile.profile(t.orders.select("o_orderstatus", "o_orderkey")))
+query(
+    "profile_bounded",
+    """SELECT c AS "column", n AS row_count, least(d, 1000) AS distinct_count, d <= 1000 AS distinct_exact, type FROM (
+         SELECT 'o_orderpriority' AS c, count(*) AS n, count(DISTINCT o_orderpriority) AS d, 'string' AS type FROM orders
+         UNION ALL SELECT 'o_orderkey', count(*), count(DISTINCT o_orderkey), 'integer' FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(DISTINCT o_orderstatus), 'string' FROM orders)""",
+)(lambda t: profile.bounded(t.orders, ["o_orderpriority", "o_orderkey", "o_orderstatus"], 1000).select("column", "row_count", "distinct_count", "distinct_exact", "type"))
 query(
     "profile_facets",
     """SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INT AS rank FROM (

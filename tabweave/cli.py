@@ -63,6 +63,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--validation-mode", choices=["strict", "advisory", "quarantine"])
     p.add_argument("--validate-only", action="store_true")
     p.add_argument("--profile")
+    p.add_argument("--quality-max-distinct", type=int, default=100_000)
     p.add_argument("--repair-edits")
     p.add_argument("--sql")
     p.add_argument("--sql-file")
@@ -159,9 +160,13 @@ def run(a: argparse.Namespace) -> int:
         df, _ = engine.scanned(files[:1])
         sinks.write_json(a.export_schema, as_contract(df.select(*scan.visible(df))))
     elif a.validate_only:
-        found = rows(engine.validate(files).limit(1000))
-        print(json.dumps(found, default=str, ensure_ascii=False))
-        return 3 if found and config.validation_mode == "strict" else 0
+        some = False
+        print("[", end="")
+        for r in engine.validate(files).toLocalIterator():
+            print((", " if some else "") + json.dumps(r.asDict(), default=str, ensure_ascii=False), end="")
+            some = True
+        print("]")
+        return 3 if some and config.validation_mode == "strict" else 0
     elif a.sql or a.sql_file:
         text = a.sql or open(a.sql_file, encoding="utf-8").read()
         found, report = engine.sql(files, text, max_rows=a.sql_max_rows, timeout=a.sql_timeout_seconds)
@@ -173,7 +178,7 @@ def run(a: argparse.Namespace) -> int:
     elif a.schema_report:
         sinks.write_json(a.schema_report, engine.schema_report(files))
     elif a.profile:
-        sinks.write_json(a.profile, {"format": "quality-profile", "version": 1, "columns": rows(engine.profile(files))})
+        sinks.write_json(a.profile, {"format": "quality-profile", "version": 1, "columns": rows(engine.profile(files, distinct=a.quality_max_distinct))})
     elif a.preview:
         print(json.dumps(rows(engine.preview(files, a.preview_rows, a.preview_scan_rows)), ensure_ascii=False))
     elif merging:

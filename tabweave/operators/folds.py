@@ -1,9 +1,11 @@
 """Values of a group put together two by two, in order: first, sum, min, max, concat.
 
-Sums, minima and maxima of numeric columns are ordinary aggregates with partial sums.
-Text columns may mix numbers and words, where the outcome depends on the order, so a
-group's values are gathered, put in order and folded; groups of that kind must fit a
-task.
+Sums, minima and maxima of numeric columns are ordinary aggregates with partial sums, and
+so are sums of text: a group's sum is its first cell that isn't blank, if that is a word,
+else the sum of its numbers; words after a number change nothing. Minima and maxima of
+text are partial ones as long as all cells are numbers or all are words. Where they mix,
+the outcome depends on the order: then, and for concat, whose result holds the group's
+texts anyway, a group's values are gathered, put in order and folded.
 """
 
 from __future__ import annotations
@@ -34,5 +36,10 @@ def folded(c: Column, kind: T.DataType, order: Column, mode: str, separator: str
         return F.min_by(c, order)
     if isinstance(kind, T.NumericType) and mode in ("sum", "min", "max"):
         return {"sum": F.sum, "min": F.min, "max": F.max}[mode](c)
+    cell = F.coalesce(X.as_text(c, kind), F.lit(""))
+    if mode == "sum":
+        number = X.as_number(cell)
+        first = F.min_by(F.when(cell != "", cell), F.when(cell != "", order))
+        return F.when(first.isNull(), "").when(X.as_number(first).isNull(), first).when(F.count(number) == 1, first).otherwise(X.number_text(F.sum(number)))
     values = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), X.as_text(c, kind).alias("v")))), lambda x: x["v"])
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1))), F.coalesce(F.try_element_at(values, F.lit(1)), F.lit("")), lambda a, b: step(a, b, mode, separator))

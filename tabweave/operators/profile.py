@@ -61,6 +61,48 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def bounded(df: DataFrame, columns: Sequence[str] | None = None, most: int = 100_000) -> DataFrame:
+    """The figures of `profile` with at most `most` distinct values of a column counted exactly.
+
+    One aggregate over the table has all counts and a sketch of each column's values (about
+    16 KB a column and task), so values are shuffled only for columns whose sketch says at
+    most twice `most`; these are counted exactly. distinct_exact tells whether distinct_count
+    is exact or, at `most`, a lower bound; then duplicate_count and unique are null, and
+    distinct_estimate is the sketch's.
+    """
+    columns = list(columns or df.columns)
+
+    # each cell is parsed once, below the aggregate
+    cells = []
+    for i, c in enumerate(columns):
+        value = X.text(df, c)
+        kind = X.profile_type(value)
+        cells += [value.alias(f"v{i}"), kind.alias(f"k{i}"), F.when(kind.isin("integer", "number"), X.as_number(value)).alias(f"x{i}")]
+
+    def figures(i: int) -> list[Column]:
+        value, kind = F.col(f"v{i}"), F.col(f"k{i}")
+        full, null = X.strip(value) != "", value.isin(*NULL_TEXTS)
+        real = full & ~null
+        own, number = F.when(real, value), F.when(real, F.col(f"x{i}"))
+        named = {"n": F.count("*"), "full": F.count_if(full), "null": F.count_if(null), "real": F.count_if(real), "sketch": F.hll_sketch_estimate(F.hll_sketch_agg(own, 14)), "numbers": F.count(number), "min": F.min(number), "max": F.max(number), "mean": F.avg(number)}
+        return [x.alias(f"{i}_{n}") for n, x in (named | {k: F.count_if(real & (kind == k)) for k in PROFILE_KINDS}).items()]
+
+    found = df.select(*cells).agg(*[x for i in range(len(columns)) for x in figures(i)]).first()
+    small = [c for i, c in enumerate(columns) if (found[f"{i}_sketch"] or 0) <= 2 * most]
+    values = melted(df.select(*[F.col(X.quoted(c)) for c in small]), small).where((X.strip(F.col("value")) != "") & ~F.col("value").isin(*NULL_TEXTS)) if small else None
+    exact = {r["column"]: r["n"] for r in values.distinct().groupBy("column").agg(F.count("*").alias("n")).collect()} if small else {}
+    rows = []
+    for i, c in enumerate(columns):
+        at = {k.partition("_")[2]: v for k, v in found.asDict().items() if k.startswith(f"{i}_")}
+        n = exact.get(c, 0) if c in small else most + 1
+        whole, kinds = n <= most, sorted(((-at[k], k) for k in PROFILE_KINDS))
+        kind, share = (kinds[0][1], -kinds[0][0] / at["real"]) if at["real"] else ("empty", 0.0)
+        rows.append((c, at["n"], at["full"], at["n"] - at["full"], at["null"], min(n, most), whole, int(at["sketch"] or 0), at["real"] - n if whole else None, n == at["real"] if whole else None, kind, share, at["numbers"], at["min"], at["max"], at["mean"]))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, row_count long, non_empty_count long, blank_count long, null_count long, distinct_count long, distinct_exact boolean, distinct_estimate long, duplicate_count long, unique boolean, type string, confidence double, numeric_count long, numeric_min double, numeric_max double, numeric_mean double"
+    )
+
+
 def facets(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
     """(column, value, n, rank): the k most frequent values of each column, ties in order of the value."""
     counts = value_counts(df, columns)
@@ -108,5 +150,40 @@ def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_n
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_n", "_before")
 
 
-def inspect_row(df: DataFrame, number: int, order_by: Sequence[str]) -> DataFrame:
-    return numbered(df, order_by).where(F.col("row_number") == number)
+def inspect_row(df: DataFrame, number: int, order_by: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Row `number` (from 1) in the given order: rows are counted by ranges of the order, and only the range that holds it is sorted."""
+    order = F.struct(*[F.col(X.quoted(c)) for c in order_by]).alias("_key")
+    keyed = df.withColumn("_key", order)
+    low, before, high = None, 0, None
+    while True:
+        inside = keyed.where((F.lit(True) if low is None else F.col("_key") >= low) & (F.lit(True) if high is None else F.col("_key") < high))
+        cuts = _cuts(inside)
+        # a row for each range: how many rows it has
+        place = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
+        counts = {r["p"]: r["n"] for r in inside.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()}
+        at = 0
+        while at <= len(cuts) and before + counts.get(at, 0) < number:
+            before, at = before + counts.get(at, 0), at + 1
+        if at > len(cuts):
+            return df.limit(0).withColumn(name, F.lit(number).cast("long"))
+        shrunk = counts[at] < sum(counts.values())
+        low, high = (cuts[at - 1] if at else low), (cuts[at] if at < len(cuts) else high)
+        if counts[at] <= _SORTED or not shrunk:
+            part = keyed.where((F.lit(True) if low is None else F.col("_key") >= low) & (F.lit(True) if high is None else F.col("_key") < high))
+            # the range's first rows up to the one that is asked for
+            return part.orderBy("_key").offset(number - before - 1).limit(1).drop("_key").withColumn(name, F.lit(number).cast("long"))
+
+
+#: Rows of a range that are sorted for one of them, and ranges that a step cuts.
+_SORTED, _RANGES = 100_000, 32
+
+
+def _cuts(df: DataFrame) -> list[Column]:
+    """Keys that cut df into ranges of about equal size: quantiles of a sample of at most some thousand rows."""
+    n = df.count()
+    if n <= _SORTED:
+        return []
+    keys = df.select("_key").sample(min(1.0, 4096 / n), seed=7).distinct().orderBy("_key").collect()
+    step = max(1, len(keys) // _RANGES)
+    kinds = df.schema["_key"].dataType
+    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r[0], kinds.fields, strict=True)]) for r in keys[step::step]]

@@ -76,7 +76,9 @@ class Engine:
 
     def frame(self, files: Sequence[str]) -> DataFrame:
         """The result's rows, with their order columns where they still have one."""
-        df, _ = self.scanned(files)
+        return self._result(self.scanned(files)[0])
+
+    def _result(self, df: DataFrame) -> DataFrame:
         c = self.config
         if c.column_template:
             first = scan.visible(scan.read(self.spark, c.column_template))
@@ -89,7 +91,7 @@ class Engine:
         df, bad = self.scanned(files)
         if c.invalid_rows == "quarantine" and c.quarantine:
             sinks.quarantine(bad, c.quarantine, files)
-        out = self.frame(files)
+        out = self._result(df)
         names = [n for n in out.columns if n not in ORDER]
         by = [(n, up) for n, up in c.sort if n in names]
         keyed, order = sort.projected(out, by, [o for o in ORDER if o in out.columns], numeric_aware=c.sort_numeric_aware, case_sensitive=c.case_sensitive)
@@ -105,10 +107,11 @@ class Engine:
         out = compiled(df.limit(scan_rows), self.config)
         return sort.preview(out.select(*[F.col(X.quoted(n)) for n in out.columns if n not in ORDER]), rows, scan_rows, columns, cell_bytes)
 
-    def profile(self, files: Sequence[str], column: str | None = None, value: str | None = None) -> DataFrame:
+    def profile(self, files: Sequence[str], column: str | None = None, value: str | None = None, distinct: int = 100_000) -> DataFrame:
+        """The columns' figures; up to `distinct` values of a column are counted exactly."""
         df, _ = self.scanned(files)
         df = profile.facet_rows(df, column, value or "") if column else df
-        return profile.profile(df, scan.visible(df))
+        return profile.bounded(df, scan.visible(df), distinct)
 
     def schema_report(self, files: Sequence[str]) -> dict:
         """Columns, types and samples of each file, and how the files differ."""

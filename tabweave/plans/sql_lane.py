@@ -1,20 +1,24 @@
 """Read-only SQL over named inputs: `input_0`, `input_1`, ...
 
 Spark's own parser decides what a statement is; only queries pass, files can't be named
-in it, results are bounded, and a statement can be given a time limit.
+in it, results are bounded, and a statement can be given a time limit. What a query calls
+and reads is judged by the nodes of its plans, not by its text: names that are made from
+strings, relations of more than one part and functions that run methods of the JVM are
+refused in the parsed plan, and the analysed plan may hold no such call by any other way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import threading
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+
 from ..functions import text as X
 
 
@@ -26,8 +30,38 @@ class SqlError(ValueError):
 
 #: Functions that run methods of the JVM.
 _METHODS = ("reflect", "java_method", "try_reflect")
-#: Comments and string literals.
-_ASIDE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+#: Nodes of names that are only known once they are computed.
+_COMPUTED_NAMES = ("ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier")
+#: Expressions that run methods of the JVM.
+_CALLS = ("CallMethodViaReflection", "TryReflect")
+
+
+def _nodes(plan) -> Iterator[dict]:
+    """The plan's operators and expressions, those of subqueries included."""
+    todo = [json.loads(plan.toJSON())]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if "class" in x:
+                yield x | {"class": x["class"].rpartition(".")[2]}
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+
+
+def _parts(names: str) -> list[str]:
+    """The parts of a name as a plan's JSON has them."""
+    return [p.strip() for p in names.strip("[]").split(",")]
+
+
+def _admitted(parsed) -> None:
+    for x in _nodes(parsed):
+        if x["class"] in _COMPUTED_NAMES:
+            raise SqlError("read_only_required", "names made from strings are not admitted")
+        if x["class"] == "UnresolvedFunction" and _parts(x.get("nameParts", ""))[-1].lower() in _METHODS:
+            raise SqlError("read_only_required", "functions that run methods of the JVM are not admitted")
+        if x["class"] == "UnresolvedRelation" and len(_parts(x["multipartIdentifier"])) > 1:
+            raise SqlError("sql_error", f"TABLE_OR_VIEW_NOT_FOUND: {x['multipartIdentifier']}; only the inputs can be read")
 
 
 @dataclass
@@ -51,8 +85,6 @@ def statement(spark: SparkSession, query: str) -> str:
     first = text.lstrip("( \n\t").split(None, 1)
     if not first or first[0].split("(")[0].lower() not in ("select", "with", "values", "from", "table"):
         raise SqlError("read_only_required", "only queries are admitted")
-    if re.search(rf"\b({'|'.join(_METHODS)})\s*\(", _ASIDE.sub(" ", text).replace("`", ""), re.I):
-        raise SqlError("read_only_required", "functions that run methods of the JVM are not admitted")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except ParseException as e:
@@ -60,6 +92,7 @@ def statement(spark: SparkSession, query: str) -> str:
     names = [plan.getClass().getName(), *[plan.children().apply(i).getClass().getName() for i in range(plan.children().size())]]
     if any("Command" in n or "Insert" in n or "Delete" in n or "Drop" in n or "MergeInto" in n or "Update" in n for n in names):
         raise SqlError("read_only_required", "only queries are admitted")
+    _admitted(plan)
     return text
 
 
@@ -105,14 +138,13 @@ def query(inputs: Sequence[DataFrame], text: str, as_text: bool = True) -> tuple
 
 
 def _sql(spark: SparkSession, text: str) -> DataFrame:
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(text)
+        out = spark.sql(text)
     except AnalysisException as e:
         raise SqlError("sql_error", str(e).splitlines()[0]) from e
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    if any(x["class"] in _CALLS for x in _nodes(out._jdf.queryExecution().analyzed())):
+        raise SqlError("read_only_required", "functions that run methods of the JVM are not admitted")
+    return out
 
 
 def collected(df: DataFrame, max_rows: int = 100_000, max_cell_bytes: int = 1 << 20, timeout: float | None = None, cancel: threading.Event | None = None) -> list:

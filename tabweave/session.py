@@ -15,9 +15,15 @@ def session(name: str = "tabweave", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder that the session names (a local one only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, which driver and executors share (a local one only where none is set)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -25,7 +25,7 @@ from ..operators.project import header
 from . import delimited, files
 
 DELIMITED = {".csv", ".tsv", ".txt"}
-LINES = {".jsonl", ".ndjson"}
+LINES = {".jsonl", ".ndjson", ".json"}
 KNOWN = DELIMITED | LINES | {".parquet", ".xlsx"}
 HIDDEN = ("_file", "_ord", "_bad")
 #: Bytes of a file's beginning that are looked at for its header.

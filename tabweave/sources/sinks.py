@@ -1,7 +1,9 @@
 """Writers: one delimited, JSON Lines, Parquet or workbook file, put in place whole.
 
 A folder target (no file suffix) is written by all tasks at once; that is the form for
-large results. A single file is for results that one task can write.
+large results. A single file is for results that one task can write. `write_folder` writes
+to any file system that Spark can: all tasks write into a folder beside the target, which
+takes the target's place when the job is done; a job that fails leaves the old one.
 """
 
 from __future__ import annotations
@@ -81,6 +83,37 @@ def write(df: DataFrame, path: str, columns: Sequence[str] | None = None, order:
     return str(target)
 
 
+def write_folder(df: DataFrame, uri: str, kind: str = "csv", columns: Sequence[str] | None = None, collision: str = "replace", delimiter: str = ",") -> str:
+    """df's columns as a folder of csv (a header in each part), jsonl or parquet parts; collision replace, fail or backup."""
+    columns = list(columns or df.columns)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(path) and collision == "fail":
+        raise OutputError(f"{uri} exists")
+    stamp = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".write-{stamp}-{path.getName()}")
+    w = (df.select(*[F.col(X.quoted(c)) for c in columns]) if kind == "parquet" else as_texts(df, columns)).write
+    try:
+        if kind == "parquet":
+            w.parquet(made.toString())
+        elif kind == "jsonl":
+            w.option("ignoreNullFields", "false").json(made.toString())
+        else:
+            w.csv(made.toString(), sep=delimiter, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        if fs.exists(path):
+            if collision == "backup":
+                fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"{path.getName()}.{stamp}.bak"))
+            else:
+                fs.delete(path, True)
+        if not fs.rename(made, path):
+            raise OutputError(f"{uri} can't be put in place")
+    finally:
+        if fs.exists(made):
+            fs.delete(made, True)
+    return uri
+
+
 def _joined(work: Path, columns: Sequence[str], suffix: str, delimiter: str, encoding: str, quoting: str, header: bool, line_ending: str) -> None:
     """The part files in a row, with the header, in the target's encoding."""
     parts = sorted(p for p in (work / "parts").iterdir() if p.name.startswith("part-"))

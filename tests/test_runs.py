@@ -225,7 +225,9 @@ def test_joins_and_merges_keep_their_order(spark, tmp_path):
 
 def test_sql_lane_refuses_methods_of_the_jvm(spark):
     df = spark.createDataFrame([(1,)], "a int")
-    for text in ("SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "select `java_method` /* x */ ('a', 'b')", "WITH t AS (SELECT TRY_REFLECT('a','b') x) SELECT * FROM t"):
+    for text in ("SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "select `java_method` /* x */ ('a', 'b')", "WITH t AS (SELECT TRY_REFLECT('a','b') x) SELECT * FROM t",
+        "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.dir')", "SELECT /* /* */ ' */ reflect('java.lang.System','getProperty','user.dir') --'", "SELECT * FROM input_0 WHERE a IN (SELECT length(reflect('java.lang.System','getProperty','user.dir')))",
+        "SELECT r'\\' , reflect('java.lang.System','getProperty','user.dir') AS `'`", "SELECT * FROM input_0 WHERE EXISTS (SELECT 1 FROM csv.`/etc/hostname`)", "SELECT * FROM IDENTIFIER('csv.`/etc/hostname`')"):
         with pytest.raises(sql_lane.SqlError):
             sql_lane.query([df], text)
     assert sql_lane.query([df], "SELECT 'reflect(' AS x -- java_method(")[0].count() == 1
