@@ -42,6 +42,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--preview", action="store_true")
     p.add_argument("--preview-rows", type=int, default=100)
     p.add_argument("--preview-scan-rows", type=int, default=5000)
+    p.add_argument("--preview-scan-bytes", type=int, default=8 << 20)
+    p.add_argument("--preview-columns", type=int, default=256)
+    p.add_argument("--preview-cell-bytes", type=int, default=16 << 10)
     p.add_argument("--filter", action="append", default=[], metavar="COL:OP:VALUE")
     p.add_argument("--sort", action="append", default=[], metavar="COL[:asc|desc]")
     p.add_argument("--columns", nargs="+")
@@ -180,7 +183,7 @@ def run(a: argparse.Namespace) -> int:
     elif a.profile:
         sinks.write_json(a.profile, {"format": "quality-profile", "version": 1, "columns": rows(engine.profile(files, distinct=a.quality_max_distinct))})
     elif a.preview:
-        print(json.dumps(rows(engine.preview(files, a.preview_rows, a.preview_scan_rows)), ensure_ascii=False))
+        print(json.dumps(rows(engine.preview(files, a.preview_rows, a.preview_scan_rows, a.preview_columns, a.preview_cell_bytes, a.preview_scan_bytes)), ensure_ascii=False))
     elif merging:
         put(*engine.merged(a.three_way_base, a.three_way_ours, a.three_way_theirs, a.key_columns, a.conflict_resolution, form=a.key_normalization))
     elif a.join_on:

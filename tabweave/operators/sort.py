@@ -61,3 +61,25 @@ def clip(c: Column, size: int) -> Column:
     # a cut may fall inside a character: up to three of its bytes go
     whole = F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, max(size - k, 0)).cast("string")) for k in range(4)])
     return F.when(F.octet_length(c) > size, F.concat(whole, F.lit("…"))).otherwise(c)
+
+
+def fitting(df: DataFrame, rows: int, size: int) -> int:
+    """How many of the first rows, `rows` at most, have no more than `size` bytes of text together.
+
+    Only the rows' sizes come to the driver, taken from the first partitions, four times as
+    many each time, until they are too many or too large.
+    """
+    cells = [F.coalesce(F.octet_length(F.col(X.quoted(c)).cast("string")), F.lit(0)) for c in df.columns]
+    sizes = df.select(sum(cells, F.lit(0)).cast("long").alias("n"))
+    n = min(rows, 16)
+    while True:
+        found = [r["n"] for r in sizes.take(n)]
+        fit, total = 0, 0
+        for x in found:
+            total += x
+            if total > size:
+                return fit
+            fit += 1
+        if len(found) < n or n >= rows:
+            return fit
+        n = min(rows, 4 * n)

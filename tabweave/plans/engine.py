@@ -101,10 +101,17 @@ class Engine:
             sinks.write_json(f"{path}.manifest.json", sinks.manifest(path, files, c.document(), names, stats))
         return stats
 
-    def preview(self, files: Sequence[str], rows: int = 100, scan_rows: int = 5000, columns: int = 256, cell_bytes: int = 16 << 10) -> DataFrame:
-        """The whole plan on the first rows of the scan, cells clipped."""
-        df, _ = self.scanned(files)
-        out = compiled(df.limit(scan_rows), self.config)
+    def preview(self, files: Sequence[str], rows: int = 100, scan_rows: int = 5000, columns: int = 256, cell_bytes: int = 16 << 10, scan_bytes: int = 8 << 20) -> DataFrame:
+        """The whole plan on the first rows of the scan, at most scan_rows of at most scan_bytes together, cells clipped.
+
+        No file is read further than its first split.
+        """
+        c = self.config
+        tables = [scan.read(self.spark, f, i, c.delimiter, c.encoding, c.header_normalize, c.trim, c.source_column, c.source_path, beginning=True) for i, f in enumerate(files)]
+        df = project.union(tables, c.schema_mode)
+        first = df.limit(sort.fitting(df.drop(*scan.HIDDEN), scan_rows, scan_bytes))
+        good, _ = scan.judged(first, c.invalid_rows)
+        out = compiled(good.drop("_bad"), c)
         return sort.preview(out.select(*[F.col(X.quoted(n)) for n in out.columns if n not in ORDER]), rows, scan_rows, columns, cell_bytes)
 
     def profile(self, files: Sequence[str], column: str | None = None, value: str | None = None, distinct: int = 100_000) -> DataFrame:

@@ -139,12 +139,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-def records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", feed: str = "\n") -> DataFrame:
+def records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", feed: str = "\n", beginning: bool = False) -> DataFrame:
     """(line, text, cells, reason): the file's records, the header's too, each with the number of its first line, the cells
-    it has and what is wrong with its quotes or bytes (null: nothing). Empty lines are no records."""
+    it has and what is wrong with its quotes or bytes (null: nothing). Empty lines are no records. beginning: those of the
+    first split only, without a look at the others."""
     sep, lines = delimiter.encode("latin-1"), _lines(spark, path, feed)
     # a file of one split needs no look ahead
-    one = lines.rdd.getNumPartitions() <= 1
+    one = beginning or lines.rdd.getNumPartitions() <= 1
     begin, last = ([(0, False, 1, -1)], None) if one else starts(splits(lines, sep))
     # a row of 32 bytes a split
     table = F.broadcast(spark.createDataFrame(begin, "block long, inside boolean, first long, owner long"))
@@ -184,11 +185,11 @@ def _decoded(df: DataFrame, codec: str) -> DataFrame:
     return df.select("line", F.regexp_replace("text", r"\r$", "").alias("text"), "cells", reason.alias("reason"))
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
+def numbered(spark: SparkSession, path: str, beginning: bool = False) -> DataFrame:
     """(line, value): lines that are records of their own, as JSON Lines are, with their numbers."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    if lines.rdd.getNumPartitions() <= 1:
-        return lines.select((F.col("at") + 1).alias("line"), "value")
+    if beginning or lines.rdd.getNumPartitions() <= 1:
+        return lines.where("block = 0").select((F.col("at") + 1).alias("line"), "value")
     found = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("low")).orderBy("block").collect()
     begin, line = [], 1
     for r in found:

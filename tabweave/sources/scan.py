@@ -110,8 +110,8 @@ def _order(parquet: bool = False) -> Column:
     return F.struct(F.col("_metadata.row_index").alias("a"), F.lit(0).cast("long").alias("b")) if parquet else F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b"))
 
 
-def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None = None, encoding: str | None = None, headers: str = "none", trim: bool = True, source_column: str | None = None, source_path: bool = False) -> DataFrame:
-    """One file as text columns with the hidden columns `_file`, `_ord`, `_bad`."""
+def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None = None, encoding: str | None = None, headers: str = "none", trim: bool = True, source_column: str | None = None, source_path: bool = False, beginning: bool = False) -> DataFrame:
+    """One file as text columns with the hidden columns `_file`, `_ord`, `_bad`; beginning: of text, the first split only."""
     suffix, no_bad = files.suffix(path), F.lit(None).cast(_BAD)
     mark = lambda when, reason, raw: F.when(when, F.struct(F.col("line"), reason.alias("reason"), raw.alias("raw")).cast(_BAD))
     by_line = F.struct(F.lit(0).cast("long").alias("a"), F.col("line").alias("b"))
@@ -120,7 +120,7 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
         cells = [(X.text(raw, c), c) for c in raw.columns]
         df, order, bad = raw, _order(True), no_bad
     elif suffix in LINES:
-        lines = delimited.numbered(spark, path).where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+        lines = delimited.numbered(spark, path, beginning).where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
         df = lines.withColumn("_map", F.from_json("value", "map<string,string>"))
         names = [r[0] for r in _keys_in_order(df)]
         cells = [(F.coalesce(F.try_element_at("_map", F.lit(n)), F.lit("")), n) for n in names]
@@ -154,7 +154,7 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
             order, bad = _order(), F.when(F.col("_corrupt").isNotNull(), F.struct(F.lit(None).cast("long").alias("line"), F.lit(RAGGED).alias("reason"), raw.alias("raw")).cast(_BAD))
         else:
             feed = "\n" if b"\n" in head or b"\r" not in head else "\r"
-            found = delimited.records(spark, path, delimiter, encoding, feed).where(F.col("line") != first)
+            found = delimited.records(spark, path, delimiter, encoding, feed, beginning).where(F.col("line") != first)
             parsed = F.from_csv("text", ", ".join(f"{f.name} string" for f in fields), {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(names) + 1))})
             df = found.withColumn("_cells", parsed).select("line", "text", "cells", "reason", "_cells.*")
             reason = F.coalesce("reason", F.when(F.col("cells") != len(names), RAGGED))

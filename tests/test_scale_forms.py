@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import folds, profile, ranges
+from tabweave.operators import folds, profile, ranges, sort
+from tabweave.plans.config import Config
+from tabweave.plans.engine import Engine
+from tabweave.sources import scan
 
 
 def test_bounded_profile(spark):
@@ -60,3 +63,14 @@ def test_row_by_rank(spark, monkeypatch):
     for n in (1, 37, 999, 2000):
         assert [tuple(r) for r in profile.inspect_row(df, n, ["k", "i"]).collect()] == [(*order[n - 1], n)]
     assert profile.inspect_row(df, 2001, ["k", "i"]).count() == 0 and profile.inspect_row(df.limit(0), 1, ["k", "i"]).count() == 0
+
+
+def test_preview_keeps_to_its_budget(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,value\n" + "".join(f'{i},"value\n{i}"\n' for i in range(10_000)))
+    e = Engine(spark, Config(dedupe=False))
+    assert [r["id"] for r in e.preview([str(path)], rows=5, scan_rows=20, scan_bytes=512).collect()] == [str(i) for i in range(5)]
+    # a row has 8 bytes of text at first
+    for rows, size, want in ((20, 512, 20), (5000, 80, 10), (5000, 7, 0), (5000, 8, 1), (37, 1 << 20, 37), (20_000, 1 << 30, 10_000)):
+        assert sort.fitting(scan.read(spark, str(path)).drop(*scan.HIDDEN), rows, size) == want
+    assert e.preview([str(path)], scan_bytes=80).count() == 10 and e.preview([str(path)], columns=1, cell_bytes=1).columns == ["id"]
