@@ -341,7 +341,7 @@ def _again(df: DataFrame, kind: str) -> DataFrame:
     """df's columns as texts, from a folder that it was written to in the shared folder."""
     uri = f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
     sinks.write_folder(df, uri, kind)
-    found = scan.expand([uri], spark=df.sparkSession)
+    found = scan.expand([uri], spark=df.sparkSession, parts=True)
     return scan.read_all(df.sparkSession, found, trim=False)[0].drop(*scan.HIDDEN)
 
 

@@ -25,8 +25,9 @@ from ..operators.project import header
 from . import delimited, files
 
 DELIMITED = {".csv", ".tsv", ".txt"}
+#: Parts that Spark writes end in .json; folders are not searched for these, as they hold other documents too.
 LINES = {".jsonl", ".ndjson", ".json"}
-KNOWN = DELIMITED | LINES | {".parquet", ".xlsx"}
+KNOWN = DELIMITED | LINES - {".json"} | {".parquet", ".xlsx"}
 HIDDEN = ("_file", "_ord", "_bad")
 #: Bytes of a file's beginning that are looked at for its header.
 HEAD = 1 << 20
@@ -56,9 +57,9 @@ class Limits:
     cell_bytes: int | None = 1 << 20
 
 
-def expand(patterns: Sequence[str], recursive: bool = True, spark: SparkSession | None = None) -> list[str]:
-    """Files of folders, globs and names, each once, in order of the lower-cased path."""
-    return files.listed(spark or SparkSession.active(), patterns, KNOWN, recursive)
+def expand(patterns: Sequence[str], recursive: bool = True, spark: SparkSession | None = None, parts: bool = False) -> list[str]:
+    """Files of folders, globs and names, each once, in order of the lower-cased path; parts: JSON Lines that Spark wrote too."""
+    return files.listed(spark or SparkSession.active(), patterns, KNOWN | LINES if parts else KNOWN, recursive)
 
 
 def staged_stdin(kind: str = "csv", limit: int = 512 << 20) -> str:

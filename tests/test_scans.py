@@ -146,15 +146,15 @@ def test_folders_are_written_by_all_tasks_and_put_in_place(spark, tmp_path, kind
     uri = f"file://{tmp_path}/out"
     df = spark.createDataFrame([(i, f'a "{i}"\n, b', "" if i % 3 else " x ") for i in range(200)], "id long, v string, w string").repartition(5)
     sinks.write_folder(df, uri, kind)
-    found = scan.expand([uri])
+    found = scan.expand([uri], parts=True)
     got, _ = scan.read_all(spark, found, trim=False)
     assert len(found) == 5 and sorted(tuple(r)[:3] for r in got.select("id", "v", "w").collect()) == sorted((str(a), b, c) for a, b, c in df.collect())
     fails = df.withColumn("v", F.raise_error(F.lit("stop")).cast("string"))
     with pytest.raises(Exception, match="stop"):
         sinks.write_folder(fails, uri, kind)
     # the old output stays, and nothing else does
-    assert scan.expand([uri]) == found and [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert scan.expand([uri], parts=True) == found and [p.name for p in tmp_path.iterdir()] == ["out"]
     with pytest.raises(sinks.OutputError):
         sinks.write_folder(df, uri, kind, collision="fail")
     sinks.write_folder(df.limit(3), uri, kind, collision="backup")
-    assert scan.read_all(spark, scan.expand([uri]))[0].count() == 3 and len(list(tmp_path.iterdir())) == 2
+    assert scan.read_all(spark, scan.expand([uri], parts=True))[0].count() == 3 and len(list(tmp_path.iterdir())) == 2
