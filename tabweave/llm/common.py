@@ -44,6 +44,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of a shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def blank_null(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
