@@ -8,7 +8,7 @@ ids are put together again.
 Defined results: a null text counts as empty; an empty text has no ids and decodes
 to an empty text; null ids decode to an empty text; rows with equal keys stay apart;
 other columns pass through untouched, but for a column named as an output, which is
-replaced. Texts are never truncated.
+replaced. An empty table gives an empty result. Texts are never truncated.
 """
 
 from __future__ import annotations

@@ -50,7 +50,7 @@ _BLOCK = {
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Fixed value: names in class, id or role of a part outside the main text.
 _MARKS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent",
+    "ad", "ads", "adsbygoogle", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent",
     "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo",
     "promoted", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
@@ -59,6 +59,9 @@ _NEUTRAL = {
     "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "header", "inner", "item", "items", "left", "link", "links", "list", "main",
     "outer", "panel", "post", "posts", "right", "row", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper",
 }
+#: Fixed value: those that count whatever words stand before them in a class name (user-comments, story-ads), but not on a page's own parts.
+_ANYWHERE = {"ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "comment", "comments", "replies", "disqus", "newsletter"}
+_OWN = {"html", "body", "article", "main"}
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 #: An attribute's name and value.
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -66,12 +69,14 @@ _STOP = re.compile(r"[>\"']")
 _CLOSE = {x: re.compile(rf"</{x}\b[^>]*>|\Z", re.I) for x in _SILENT}
 
 
-def _marked(value: str) -> bool:
-    """True if one of the names is a mark, or is made of marks and neutral words."""
+def _marked(value: str, own: bool = False) -> bool:
+    """True if one of the names is a mark, is made of marks and neutral words, or (not on a page's own parts) ends in a mark of comments or adverts."""
     for name in value.lower().split():
         parts = re.split("[-_]+", name.strip("-_"))
         if not _MARKS.isdisjoint(parts) and all(x in _MARKS or x in _NEUTRAL or x.isdigit() for x in parts):
             return True
+        if not own and parts[-1] in _ANYWHERE:
+            return True
     return False
 
 
@@ -80,7 +85,7 @@ def _outside(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and _marked(value):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and _marked(value, tag in _OWN):
             return True
     return False
 

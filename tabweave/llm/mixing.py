@@ -16,7 +16,7 @@ source, which every document is compared with.
 Defined results: null text has 0 words; null source is a source of its own, the last;
 rows with equal key and text share a draw, and where the budget ends among them as many
 are taken as come nearest to it (which ones is all the same); documents without words are
-taken 0 words; an empty table gives an empty result; other columns pass through, and
+taken 0 words; texts of any length are counted whole; an empty table gives an empty result; other columns pass through, and
 those named as outputs are replaced.
 """
 

@@ -12,7 +12,8 @@ contract: 50 words at least, and at most half of them in three-word windows that
 the text holds twice.
 
 Defined results: null text counts as empty and fails the base rules; rows stay apart
-even where keys repeat; whole texts, of any length; other columns aren't read.
+even where keys repeat; whole texts, of any length; an empty table gives an
+empty result; other columns aren't read.
 """
 
 from __future__ import annotations

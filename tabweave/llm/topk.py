@@ -19,7 +19,7 @@ beyond that the leaves are multiplied as Python integers.
 Defined results: vectors that are null, or hold null or non-finite components, take
 no part; vectors of different length aren't compared; a query id that repeats is
 asked once (its smallest vector); candidates that carry the query's id are its own;
-fewer than k candidates give fewer rows; an empty table gives an empty result; columns
+equal scores go to the smaller id; fewer than k candidates give fewer rows; an empty table gives an empty result; columns
 of other names, those used inside included, are not read.
 """
 

@@ -18,8 +18,8 @@ dictionary is the base with what sets toxic text apart.
 
 Defined results: null text counts as empty; an empty text scores as one window-less
 document does; without labelled rows of both classes every score is 0; repeated
-labels of a key count once; rows stay apart even where keys repeat; other columns
-are not read.
+labels of a key count once; rows stay apart even where keys repeat; texts of any
+length are scored whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -100,3 +100,14 @@ def test_digest_array_confirms_strings():
     a.strings[0] = "other"  # as if two strings had one key
     assert list(a.holds(["x", "y", "z"])).count(True) == 1
     assert not url_filter.DigestArray([]).holds(["x"]).any()
+
+
+def test_compound_names_of_comments_and_adverts(spark):
+    from tabweave.llm import html_text
+
+    page = "<html><body class='has-comments'><article class='post no-comments'><p>Kept.</p>{}</article></body></html>"
+    out = [f"<{t} {a}='{n}'>out</{t}>" for t, a, n in (("div", "class", "user-comments"), ("section", "id", "reader-comments"), ("div", "class", "adsbygoogle"), ("div", "class", "x story_ads"), ("ul", "class", "all-replies"))]
+    kept = ["<div class='share-price'>kept</div>", "<p class='menu-card'>kept</p>", "<p class='commentary'>kept</p>", "<p class='comments-policy-text-of-ours'>kept</p>"]
+    rows = [(i, f"http://h{i}/p", page.format(x)) for i, x in enumerate(out + kept)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["Kept."] * len(out) + ["Kept.\nkept"] * len(kept)
