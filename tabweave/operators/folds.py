@@ -3,9 +3,9 @@
 Sums, minima and maxima of numeric columns are ordinary aggregates with partial sums, and
 so are sums of text: a group's sum is its first cell that isn't blank, if that is a word,
 else the sum of its numbers; words after a number change nothing. Minima and maxima of
-text are partial ones as long as all cells are numbers or all are words. Where they mix,
-the outcome depends on the order: then, and for concat, whose result holds the group's
-texts anyway, a group's values are gathered, put in order and folded.
+text, where numbers and words may mix, and concat, whose result holds the group's texts
+anyway, depend on the order: there a group's values are gathered, put in order and
+folded, and must fit a task.
 """
 
 from __future__ import annotations
