@@ -1,11 +1,16 @@
 """Operator 7: toxicity by compression distance.
 
 Two zstandard dictionaries share one base, trained on windows of ordinary text; the
-toxic one goes on with words from toxic text whose beginnings toxic documents use and
-ordinary ones hardly do. A window of `WINDOW` words is compressed with either, and
-what the toxic dictionary saves is the window's distance. A document's score comes
-from a logistic curve over its windows' savings, fitted on labelled documents that
-the dictionaries haven't seen and weighted to the labels' own share of toxic rows.
+toxic one goes on with the words of toxic text whose beginnings (stems) toxic documents
+use so much more often that chance doesn't explain it (a likelihood ratio test of the
+documents that hold them, its level shared among all stems). A window of `WINDOW`
+words is compressed with either, and what the toxic dictionary saves is the window's
+distance. Short words save nothing where a window is too short to be compressed at
+all, so the words with such a stem are counted too. A document's score comes from a
+logistic curve over its windows' savings and these counts. It is fitted on documents
+that the dictionaries haven't seen, each half of the labelled ones with dictionaries
+of the other half, and weighted to the labels' own share of toxic rows; the
+dictionaries in use are then made from both halves.
 
 The fit uses at most `SAMPLE` labelled rows of each class, in order of the MD5 of the
 key, as long as those before them have fewer than `TRAIN_CHARS` characters in all; it
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -39,11 +44,11 @@ from pyspark.sql.window import Window
 from .common import blank_null, slices, text_batches, tidy
 
 SAMPLE, TRAIN_CHARS = 2000, 16_000_000
-WINDOW, LEVEL, BASE_BYTES, EXTRA_WORDS, BASE_WINDOWS = 8, 3, 32 << 10, 100, 60_000
+WINDOW, LEVEL, BASE_BYTES = 8, 3, 32 << 10
 #: Lengths in bytes of the word beginnings that are compared.
 STEMS = range(4, 11)
-#: A stem is toxic if this share of toxic documents has it, this many times the share of ordinary ones.
-STEM_SHARE, STEM_TIMES = 0.01, 12
+#: A stem is toxic if its share of toxic documents is this many times that of ordinary ones, with this chance that any such stem is found by accident.
+STEM_TIMES, ACCIDENT = 6, 0.01
 #: Savings in bytes of a window up to here are noise.
 NOISE = (2, 4)
 
@@ -52,6 +57,7 @@ NOISE = (2, 4)
 class Model:
     ordinary: bytes
     toxic: bytes
+    stems: frozenset[bytes]
     weights: tuple[float, ...]  # intercept first; empty: nothing to learn from
 
 
@@ -79,10 +85,11 @@ def _lengths(c: zstandard.ZstdCompressor, data: bytes, segments: bytes) -> np.nd
 
 
 def _features(model: Model, texts: list[str]) -> np.ndarray:
-    windows = [_windows(_words(t)) for t in texts]
+    words = [_words(t) for t in texts]
+    windows = [_windows(w) for w in words]
     flat = [w for x in windows for w in x]
     counts = np.array([len(x) for x in windows], np.int64)
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), 6))
     if flat:
         size = np.fromiter(map(len, flat), np.uint64, len(flat))
         segments = np.stack([np.cumsum(size) - size, size], 1).astype(np.uint64).tobytes()
@@ -96,6 +103,10 @@ def _features(model: Model, texts: list[str]) -> np.ndarray:
         np.maximum.at(top, doc, saved)
         out[:, 2] = top
     out[:, 3] = np.log1p(counts)
+    marked = {w for w in set().union(*words) if _marked(w, model.stems)}
+    found = [[w for w in d if w in marked] for d in words]
+    out[:, 4] = np.log1p([len(f) for f in found])
+    out[:, 5] = np.log1p([len(set(f)) for f in found])
     return out
 
 
@@ -119,29 +130,54 @@ def _stems(docs: list[list[bytes]]) -> Counter:
     return Counter(s for d in docs for s in {w[:n] for w in set(d) for n in STEMS if n <= len(w)})
 
 
-def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """Halves of each class make the dictionaries; the other halves fit the curve. share: of toxic rows."""
-    if len(toxic) < 4 or len(ordinary) < 4:
-        return Model(b" " * 8, b" " * 8, ())
-    t, o = [_words(x) for x in toxic[::2]], [_words(x) for x in ordinary[::2]]
-    in_t, in_o = _stems(t), _stems(o)
-    least = max(3, STEM_SHARE * len(t))
-    rich = {s for s, n in in_t.items() if n >= least and n / len(t) >= STEM_TIMES * (in_o[s] + 0.5) / len(o)}
-    bad = lambda w: any(w[:n] in rich for n in STEMS)
+def _marked(word: bytes, stems: frozenset[bytes]) -> bool:
+    return any(word[:n] in stems for n in STEMS)
+
+
+def _deviance(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+    """Log likelihood of k of n documents, at its best less with share p."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(k > 0, k * np.log(k / n / p), 0.0) + np.where(k < n, (n - k) * np.log((1 - k / n) / (1 - p)), 0.0)
+
+
+def toxic_stems(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> frozenset[bytes]:
+    """Stems that toxic documents hold more often than chance explains."""
+    in_t, in_o = _stems(toxic), _stems(ordinary)
+    stems, n_t, n_o = list(in_t), len(toxic), len(ordinary)
+    t, o = np.array([in_t[s] for s in stems], float), np.array([in_o[s] for s in stems], float)
+    p = (t + o) / (n_t + n_o)
+    ratio = 2 * (_deviance(t, n_t, p) + _deviance(o, n_o, p))
+    rich = (ratio >= 2 * np.log(max(len(stems), 1) / ACCIDENT)) & (t / n_t >= STEM_TIMES * (o + 0.5) / n_o)
+    return frozenset(stems[i] for i in np.flatnonzero(rich))
+
+
+def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+    stems = toxic_stems(toxic, ordinary)
     # words count once for each pair of neighbours, so that copies of one text count once
-    found = Counter(w for _, w, _ in {x for d in t for x in zip([b"", *d], d, [*d[1:], b""], strict=False) if bad(x[1])})
-    extra = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:EXTRA_WORDS] if n >= least]
-    plain = sorted({w for d in o for w in _windows(d) if not any(map(bad, w.split()))}, key=hash_of)[:BASE_WINDOWS]
+    found = Counter(w for _, w, _ in {x for d in toxic for x in zip([b"", *d], d, [*d[1:], b""], strict=False) if _marked(x[1], stems)})
+    plain = sorted({w for d in ordinary for w in _windows(d) if not any(_marked(x, stems) for x in w.split())}, key=hash_of)
     try:
         base = zstandard.train_dictionary(BASE_BYTES, plain).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         base = b" ".join(plain)[-BASE_BYTES:]
+    base = base or b" " * 8
     # the last bytes of a dictionary are the nearest ones, so the most frequent words stand last
-    model = Model(base or b" " * 8, (base or b" " * 8) + b" " + b" ".join(extra[::-1]) + b" ", ())
-    x = _features(model, toxic[1::2] + ordinary[1::2])
-    n_t, n_o = len(toxic[1::2]), len(ordinary[1::2])
-    y, w = np.r_[np.ones(n_t), np.zeros(n_o)], np.r_[np.full(n_t, share / n_t), np.full(n_o, (1 - share) / n_o)] * (n_t + n_o)
-    return Model(model.ordinary, model.toxic, tuple(map(float, _logistic(x, y, w))))
+    return Model(base, base + b" " + b" ".join(sorted(found, key=lambda w: (found[w], w))) + b" ", stems, ())
+
+
+def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """Dictionaries from all texts; the curve from each half's with dictionaries of the other half. share: of toxic rows."""
+    if len(toxic) < 4 or len(ordinary) < 4:
+        return Model(b" " * 8, b" " * 8, frozenset(), ())
+    t, o = [_words(x) for x in toxic], [_words(x) for x in ordinary]
+    x, y = [], []
+    for half in (0, 1):
+        own = _dictionaries(t[1 - half :: 2], o[1 - half :: 2])
+        x.append(_features(own, toxic[half::2] + ordinary[half::2]))
+        y.append(np.repeat([1.0, 0.0], [len(toxic[half::2]), len(ordinary[half::2])]))
+    label = np.concatenate(y)
+    weight = np.where(label > 0, share / len(toxic), (1 - share) / len(ordinary)) * len(label)
+    return replace(_dictionaries(t, o), weights=tuple(map(float, _logistic(np.concatenate(x), label, weight))))
 
 
 def hash_of(window: bytes) -> int:

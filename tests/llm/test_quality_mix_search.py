@@ -204,6 +204,25 @@ def test_toxicity_on_held_out_rows(spark, make_docs, clashes):
     assert kept.columns == docs.columns and None in ids and 5000 in ids and sum(truth.get(i, 0) for i in ids) < 0.2 * sum(truth.values())
 
 
+def test_stems_that_chance_explains_are_not_toxic():
+    r = random.Random(3)
+    text = lambda extra: [f"w{r.randrange(400):03d}x".encode() for _ in range(40)] + extra
+    toxic, ordinary = [text([b"grubble"] if i % 2 else [b"%02dxyzzy" % i]) for i in range(60)], [text([]) for _ in range(300)]
+    stems = toxicity.toxic_stems(toxic, ordinary)
+    assert {s for s in stems if not any(s[:n] in stems for n in range(4, len(s)))} == {b"grub"}
+    assert toxicity.toxic_stems([], []) == frozenset()
+
+
+def test_toxicity_on_held_out_rows_of_the_given_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    own = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    out = toxicity.score(own, toxicity.fit(own, labels)).where("held_out").join(labels, "doc_id").select("toxic", "score").toPandas()
+    bad, fine = out.score[out.toxic == 1], out.score[out.toxic == 0]
+    assert (bad >= 0.5).mean() >= 0.8 and (fine >= 0.5).mean() < 0.01
+    assert np.mean([(s > fine).mean() + (s == fine).mean() / 2 for s in bad]) > 0.97
+
+
 def test_toxicity_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     m = toxicity.fit(make_docs([(1, "a")]), none)
