@@ -60,6 +60,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--max-rows", type=int)
     p.add_argument("--max-file-bytes", type=int)
     p.add_argument("--max-cell-bytes", type=int)
+    p.add_argument("--max-json-nesting", type=int)
+    p.add_argument("--max-decompressed-bytes", type=int)
     p.add_argument("--schema-report")
     p.add_argument("--schema-contract")
     p.add_argument("--export-schema")

@@ -59,6 +59,8 @@ class Config:
     max_rows: int | None = 1_000_000
     max_columns: int | None = 16_384
     max_cell_bytes: int | None = 1 << 20
+    max_json_nesting: int | None = 32
+    max_decompressed_bytes: int | None = 1 << 30
     # contract and repairs
     contract: dict | None = None
     validation_mode: str = "strict"

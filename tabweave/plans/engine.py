@@ -71,7 +71,7 @@ class Engine:
 
     def scanned(self, files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         c = self.config
-        limits = scan.Limits(c.max_file_bytes, c.max_rows, c.max_columns, c.max_cell_bytes)
+        limits = scan.Limits(c.max_file_bytes, c.max_rows, c.max_columns, c.max_cell_bytes, c.max_json_nesting, c.max_decompressed_bytes)
         return scan.read_all(self.spark, files, c.invalid_rows, c.schema_mode, limits, delimiter=c.delimiter, encoding=c.encoding, headers=c.header_normalize, trim=c.trim, source_column=c.source_column, source_path=c.source_path)
 
     def frame(self, files: Sequence[str]) -> DataFrame:

@@ -55,6 +55,8 @@ class Limits:
     rows: int | None = 1_000_000
     columns: int | None = 16_384
     cell_bytes: int | None = 1 << 20
+    json_depth: int | None = 32
+    unpacked_bytes: int | None = 1 << 30
 
 
 def expand(patterns: Sequence[str], recursive: bool = True, spark: SparkSession | None = None, parts: bool = False) -> list[str]:
@@ -130,7 +132,7 @@ def read(spark: SparkSession, path: str, index: int = 0, delimiter: str | None =
     elif suffix == ".xlsx":
         from .xlsx import workbook
 
-        df = workbook(spark, path)
+        df = workbook(spark, path, None)
         cells = [(F.coalesce(F.col(X.quoted(c)), F.lit("")), c) for c in df.columns if c != "_row"]
         order, bad = F.struct(F.lit(0).cast("long").alias("a"), F.col("_row").alias("b")), no_bad
     else:
@@ -173,10 +175,36 @@ def _keys_in_order(parsed: DataFrame) -> list:
     return keys.groupBy("k").agg(F.min(F.struct("o", "p")).alias("o")).orderBy("o").select("k").collect()
 
 
-def admitted(df: DataFrame, path: str, limits: Limits) -> DataFrame:
-    """df, if it keeps to the limits; one aggregate over it."""
-    if limits.file_bytes is not None and files.length(df.sparkSession, path) > limits.file_bytes:
+def deeper(value: Column, depth: int) -> Column:
+    """True if a value in a JSON text is inside more than `depth` objects and lists. Texts that open no more brackets aren't gone through."""
+    # escapes go first, so that what is left of a string has no quote inside
+    bare = F.regexp_replace(F.regexp_replace(value, r"(?s)\\.", ""), '"[^"]*"?', "0")
+    bare = F.regexp_replace(bare, r"\{\s*\}|\[\s*\]", "")  # what is empty has no value inside
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+    now = lambda s, x: s["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+    top = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), lambda s, x: F.struct(now(s, x).alias("now"), F.greatest(s["top"], now(s, x)).alias("top")), lambda s: s["top"])
+    opening = F.length(F.regexp_replace(value, r"[^\[{]+", ""))
+    return F.when(opening > depth, top > depth).otherwise(False)
+
+
+def openable(spark: SparkSession, path: str, limits: Limits) -> None:
+    """Raises if a file is larger, deeper or more when unpacked than the limits say; before any of it is parsed."""
+    if limits.file_bytes is not None and files.length(spark, path) > limits.file_bytes:
         raise InputError(f"{path} has more than {limits.file_bytes} bytes")
+    kind = files.suffix(path)
+    if kind in LINES and limits.json_depth is not None:
+        line = delimited.numbered(spark, path).where(deeper(F.col("value"), limits.json_depth)).agg(F.min("line")).first()[0]
+        if line is not None:
+            raise InputError(f"{path} has JSON of more than {limits.json_depth} levels; first in line {line}")
+    if kind == ".xlsx" and limits.unpacked_bytes is not None:
+        from .xlsx import unpacked
+
+        if unpacked(spark, path) > limits.unpacked_bytes:
+            raise InputError(f"{path} unpacks to more than {limits.unpacked_bytes} bytes")
+
+
+def admitted(df: DataFrame, path: str, limits: Limits) -> DataFrame:
+    """df, if its rows, columns and cells keep to the limits; one aggregate over it."""
     names = [c for c in df.columns if c not in HIDDEN]
     if limits.columns is not None and len(names) > limits.columns:
         raise InputError(f"{path} has more than {limits.columns} columns")
@@ -209,6 +237,8 @@ def read_all(spark: SparkSession, paths: Sequence[str], policy: str = "fail", mo
 
     good, bad = [], []
     for i, p in enumerate(paths):
+        if limits:
+            openable(spark, p, limits)
         df = read(spark, p, i, **options)
         df = admitted(df, p, limits) if limits else df
         g, b = judged(df, policy, files.suffix(p) in LINES)

@@ -158,3 +158,41 @@ def test_folders_are_written_by_all_tasks_and_put_in_place(spark, tmp_path, kind
         sinks.write_folder(df, uri, kind, collision="fail")
     sinks.write_folder(df.limit(3), uri, kind, collision="backup")
     assert scan.read_all(spark, scan.expand([uri], parts=True))[0].count() == 3 and len(list(tmp_path.iterdir())) == 2
+
+
+def _depth(v) -> int:
+    inner = v.values() if isinstance(v, dict) else v if isinstance(v, list) else None
+    return 1 + max(map(_depth, inner)) if inner else 0
+
+
+def test_depth_of_json(spark):
+    r = random.Random(9)
+
+    def some(n):
+        kind = r.randrange(4) if n else 3
+        if kind == 0:
+            return {r.choice(["a", 'b"[', "c\\\\{"]) + str(i): some(n - 1) for i in range(r.randrange(3))}
+        return [some(n - 1) for _ in range(r.randrange(3))] if kind < 3 else r.choice([1, None, '[[[["{{', "\\", '\\"]'])
+
+    values = [some(r.randrange(7)) for _ in range(300)] + [[[[[]]]], {}, "[", [""], [[""], {}]]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i long, value string")
+    for depth in (0, 1, 3):
+        got = {x["i"] for x in rows.where(scan.deeper(F.col("value"), depth)).collect()}
+        assert got == {i for i, v in enumerate(values) if _depth(v) > depth}
+
+
+def test_bounds_of_depth_and_unpacked_bytes(spark, tmp_path):
+    deep, out = tmp_path / "deep.jsonl", tmp_path / "out.csv"
+    deep.write_text('{"a": 1}\n' + '{"a": "[[[["}\n' + '{"a": ' + "[" * 40 + "]" * 40 + "}\n" + '{"a": "' + 'x\\"' * 20000 + '"}\n')
+    with pytest.raises(scan.InputError, match="more than 32 levels; first in line 3"):
+        Engine(spark, Config()).process([str(deep)], str(out))
+    book = tmp_path / "book.xlsx"
+    from tabweave.sources import xlsx
+
+    xlsx.write(str(book), ["a"], iter([["x" * 1000]] * 50))
+    with pytest.raises(scan.InputError, match="unpacks to more than 20000 bytes"):
+        Engine(spark, Config(max_decompressed_bytes=20_000)).process([str(book)], str(out))
+    assert not out.exists()
+    Engine(spark, Config(max_json_nesting=41)).process([str(deep)], str(out))
+    assert out.exists()
+    assert scan.read_all(spark, [str(book)], limits=scan.Limits())[0].count() == 50
