@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from .common import blank_null, slices, text_batches, tidy
 from .pieces import default_tokenizer, encoder, vocabulary
 
+#: Bytes of text that are encoded at once: what their new chunks take on the way is a multiple of it.
+AT_ONCE = 512 << 10
+
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
@@ -37,7 +40,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, AT_ONCE):
             flat, offsets, strings = e.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), decoded is not None)
             batch = _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())))
             yield _with(batch, decoded, pa.array(strings, pa.string())) if decoded else batch

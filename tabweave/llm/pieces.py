@@ -19,6 +19,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from .common import give_back
+
 #: Python also splits at these four; the vocabulary's pattern does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Fixed value: white space as the vocabulary's pattern has it.
@@ -78,10 +80,14 @@ class Vocabulary:
         for t, i in pieces.items():
             self.strings[i] = t
         self.spaced = [f" {t}" for t in self.strings]
+        del spec, pieces
+        give_back()
 
     @cached_property
     def library(self) -> Tokenizer:
-        return Tokenizer.from_file(self.path)
+        made = Tokenizer.from_file(self.path)
+        give_back()  # reading takes several times what the tokenizer holds
+        return made
 
     @cached_property
     def ends(self) -> models.Model:
@@ -92,7 +98,12 @@ class Vocabulary:
         """For inner fragments of a pre-token, none of whose symbols carries the word end."""
         spec = _spec(self.path)
         spec["model"]["end_of_word_suffix"] = None
-        return Tokenizer.from_str(json.dumps(spec)).model
+        coded = json.dumps(spec)
+        del spec
+        give_back()
+        made = Tokenizer.from_str(coded).model
+        give_back()
+        return made
 
     @cached_property
     def joined(self) -> set[str]:

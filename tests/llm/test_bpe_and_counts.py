@@ -67,3 +67,20 @@ def test_digests(make_docs):
     r = bpe.digests(bpe.encode(make_docs([(1, "a b")]), decoded="decoded")).first()
     ids = library().encode("a b", add_special_tokens=False).ids
     assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_a_worker_keeps_little_of_reading_the_vocabulary():
+    import subprocess
+    import sys
+
+    code = """
+import re
+from tabweave.llm import pieces
+from tabweave.llm.common import give_back
+anon = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+give_back()
+before, e = anon(), pieces.encoder(pieces.default_tokenizer()).words
+e.inner_lines, e.end_lines, e.joined
+print(anon() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 48
