@@ -317,3 +317,31 @@ def test_recall_of_changed_copies():
             wa, wb = (shingles.word_hashes([t])[0] for t in (a, b))
             found += any(passages.passages(wb, s, e, wa, os, oe) for s, e, os, oe in passages.chains(passages.thinned(met[:, 0], met[:, 1])))
         assert found >= 100 * least_found, (alike, found)
+
+
+def test_changed_copies_among_many_quotations(make_docs, monkeypatch):
+    for alike, q, least_found, limit in ((0.95, 40, 18, passages.ROUND), (0.85, 12, 18, passages.ROUND), (0.85, 40, 18, 2000), (0.8, 40, 17, passages.ROUND)):
+        monkeypatch.setattr(passages, "ROUND", limit)
+        r, rows = random.Random(7), []
+        for g in range(20):
+            p = words(60, 500 + g)
+            for _ in range(q):
+                a = r.randrange(len(p) - 24)
+                rows.append((len(rows), text(words(20, r.random()), p[a : a + 24], words(20, r.random()))))
+            changed = list(p)
+            for k in r.sample(range(1, 59), round(60 * (1 - alike))):
+                changed[k] = f"x{r.random()}"
+            rows += [(100_000 + g, text(words(30, r.random()), p, words(10, r.random()))), (200_000 + g, text(words(10, r.random()), changed, words(30, r.random())))]
+        results = [sorted(map(tuple, passages.repeated(make_docs(rows).repartition(n)).collect()), key=str) for n in ((1, 16) if q == 12 else (4,))]
+        assert all(x == results[0] for x in results)
+        assert {x[0] for x in results[0]} <= set(range(200_000, 200_020))
+        assert len({x[0] for x in results[0] if x[4] == x[0] - 100_000}) >= least_found, (alike, q, results[0])
+
+
+def test_a_text_that_repeats_itself_seeks_as_one_stretch():
+    import pyarrow as pa
+
+    spots = passages.pack_small(np.arange(1990) * 4 + 2)
+    batch = pa.RecordBatch.from_pylist([{"id": 5, "text": "and " * 2000, "spots": spots, "spans": None}])
+    (out,) = passages._twos(50, True)(iter([batch]))
+    assert [(r["p"], r["q"]) for r in out.to_pylist()] == [(0, 1989)]
