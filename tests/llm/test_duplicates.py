@@ -355,3 +355,62 @@ def test_a_word_again_and_again_is_cut_whole(make_docs):
     left = {r["doc_id"]: r["text"].split() for r in passages.removed(make_docs(rows)).collect()}
     assert left[1].count("la") == 60 and left[2].count("la") == 0 and left[3].count("la") == 30
     assert left[40].count("de") == 55 and left[41].count("de") == 0 and all(left[10 + i].count("de") == 20 + i for i in range(20))
+
+
+def test_few_rows_of_many_bytes_are_not_broadcast(spark):
+    rows = spark.range(40).selectExpr("id", "cast(repeat('x', 1000000) as binary) as chains")
+    spans = spark.range(4).selectExpr("id", "transform(sequence(1, 500000), x -> struct(x as word, x as n_words)) as spans")
+    assert passages._beside(rows) is rows and passages._beside(spans) is spans
+    assert passages._beside(rows.select("id")) is not rows and "broadcast" in passages._beside(rows.select("id"))._jdf.queryExecution().logical().toString()
+
+
+def test_passages_are_the_same_if_nothing_is_broadcast(make_docs, monkeypatch):
+    rows = [(i, text(words(20, i), words(40, 500), words(10 + i, 501), words(15, 100 + i))) for i in range(30)]
+    want = sorted(map(str, passages.repeated(make_docs(rows)).collect()))
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", 0)
+    assert want and sorted(map(str, passages.repeated(make_docs(rows)).collect())) == want
+
+
+def stretches():
+    """Texts' word hashes round one phrase, some of them alike beyond it."""
+    r, base = random.Random(3), words(90, 77)
+    out = []
+    for i in range(60):
+        w = words(90, 1000 + i)
+        w[40:54] = base[40:54]
+        if i % 3 == 0:
+            for k in range(90):
+                if r.random() < 0.85:
+                    w[k] = base[k]
+        out.append(shingles.word_hashes([text(w)])[0])
+    return out
+
+
+def test_texts_that_may_be_alike_meet_and_those_that_share_a_phrase_do_not():
+    import pyarrow as pa
+
+    rows = []
+    for i, w in enumerate(stretches()):
+        spare, bits = passages.sketches(w, np.array([40]), np.array([54]))
+        rows += [{"key": 9, "id": i, "seeks": s, "spare": int(spare[0]), "sketch": bits[0].tobytes()} for s in (True, False)]
+    r = passages._near(40)(pa.Table.from_pylist(rows)).to_pylist()
+    found, own = {(x["id"], x["other"]) for x in r}, stretches()
+    near = [w[40 - passages.MARGIN : 54 + passages.MARGIN] for w in own]
+    alike = {(i, j) for i in range(60) for j in range(i) if passages.in_order(near[i], near[j]) >= 40}
+    assert alike <= found and len(alike) > 100 and len(found) < 1.1 * len(alike)
+
+
+def test_words_shared_near_chains():
+    own, r = stretches(), random.Random(4)
+    a = passages.half(own[0])
+    start, end = np.array([0, 10, 40, 89]), np.array([20, 60, 54, 95])
+    others = [passages.half(own[k])[: r.randint(0, 90)] for k in (3, 6, 1, 0)]
+    got = passages.shared_words(a, start, end, np.concatenate(others), np.array([len(x) for x in others]))
+    assert got.tolist() == [int(np.isin(o, a[s:e]).sum()) for o, s, e in zip(others, start, end, strict=True)]
+
+
+def test_keys_are_known_by_their_bits(spark):
+    r = np.random.default_rng(1)
+    keys = [int(x) for x in r.integers(-(1 << 63), (1 << 63) - 1, 500)]
+    bits = passages._bits(spark.createDataFrame([(k,) for k in keys], "key long"), 500)
+    assert passages._among(np.array(keys), bits).all() and passages._among(r.integers(-(1 << 63), (1 << 63) - 1, 10_000), bits).mean() < 0.01
