@@ -269,7 +269,7 @@ query("join_collision_suffix", "SELECT n_regionkey AS k, n_name AS name, r_name
     lambda t: joins.join(t.nation.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name")), t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), ["k"])
 )
 query("join_chain", "SELECT c_nationkey AS k, c_custkey, n_name, s_suppkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = c_nationkey")(
-    lambda t: joins.chain([t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey"), t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey")], ["k"])
+    lambda t: joins.chain([t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey"), t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey")], ["k"], multiplied=True)
 )
 query("join_chain_customers", "SELECT c_custkey, c_nationkey AS k, n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(
     lambda t: joins.join(

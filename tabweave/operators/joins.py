@@ -16,6 +16,10 @@ from ..functions import text as X
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
+#: Rows up to which the right side of a join that multiplies rows is broadcast.
+BROADCAST_ROWS = 200_000
+
+
 class JoinError(ValueError):
     """A join or merge that its policy forbids."""
 
@@ -66,9 +70,28 @@ def join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inn
     return met.select(*own, *[F.col(f"r.{X.quoted(c)}").alias(n) for c, n in names.items()])
 
 
-def chain(tables: Sequence[DataFrame], keys: Sequence[str], how: str = "inner", **options) -> DataFrame:
-    """The tables joined one after the other, from the left."""
-    return reduce(lambda a, b: join(a, b, keys, how, **options), tables)
+def chain(tables: Sequence[DataFrame], keys: Sequence[str], how: str = "inner", multiplied: bool = False, **options) -> DataFrame:
+    """The tables joined one after the other, from the left. multiplied: rows may meet many of the next table (see join_many)."""
+    return reduce(lambda a, b: (join_many if multiplied else join)(a, b, keys, how, **options), tables)
+
+
+def join_many(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", **options) -> DataFrame:
+    """join, where few keys may have many rows on both sides: what they give is no task's burden. Left rows are dealt out evenly and meet a
+    broadcast right side, or one that has its rows once for each of some shares of the left rows."""
+    form = options.get("form", "trim-casefold")
+    parts = [p.alias(f"k{i}") for i, p in enumerate(key_parts(right, keys, form))]
+    rows, most = right.select(*parts).groupBy(*[f"k{i}" for i in range(len(parts))]).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    if how not in ("inner", "left") or not most or most == 1:
+        return join(left, right, keys, how, **options)
+    spark = left.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rows <= BROADCAST_ROWS:
+        return join(left.repartition(n), F.broadcast(right), keys, how, **options)
+    share = next(x for x in (f"_share{i}" for i in count()) if x not in left.columns and x not in right.columns)
+    own = [F.col(X.quoted(f.name)) for f in left.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    l = left.withColumn(share, F.pmod(F.xxhash64(*own), F.lit(n)))
+    r = right.withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return join(l, r, [*keys, share], how, **options).drop(share)
 
 
 def diagnostics(left: DataFrame, right: DataFrame, keys: Sequence[str], form: str = "trim-casefold") -> DataFrame:

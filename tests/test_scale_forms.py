@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import folds, profile, ranges, sort
+from tabweave import catalogue
+from tabweave.operators import folds, joins, profile, ranges, sort
 from tabweave.plans.config import Config
 from tabweave.plans.engine import Engine
 from tabweave.sources import scan
@@ -74,3 +75,20 @@ def test_preview_keeps_to_its_budget(spark, tmp_path):
     for rows, size, want in ((20, 512, 20), (5000, 80, 10), (5000, 7, 0), (5000, 8, 1), (37, 1 << 20, 37), (20_000, 1 << 30, 10_000)):
         assert sort.fitting(scan.read(spark, str(path)).drop(*scan.HIDDEN), rows, size) == want
     assert e.preview([str(path)], scan_bytes=80).count() == 10 and e.preview([str(path)], columns=1, cell_bytes=1).columns == ["id"]
+
+
+def test_a_join_that_multiplies_rows_is_dealt_out(spark, tmp_path, monkeypatch):
+    for table, rows in {"customer": [(i, i % 3) for i in range(90)], "supplier": [(i, i % 3) for i in range(60)], "nation": [(f"n{i}", i) for i in range(3)]}.items():
+        names = {"customer": "c_custkey long, c_nationkey int", "supplier": "s_suppkey long, s_nationkey int", "nation": "n_name string, n_nationkey int"}[table]
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    one = catalogue.QUERIES["join_chain"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(one) > 4 and max(r["count"] for r in one) < 600 and sum(r["count"] for r in one) == 1800
+    left = spark.createDataFrame([(i % 2 if i % 7 else None, i, "a") for i in range(40)], "k int, n int, _share0 string").coalesce(1)
+    right = spark.createDataFrame([(i % 3 if i % 5 else None, -i) for i in range(30)], "k long, m int")
+    for how in ("inner", "left", "full"):
+        want = sorted(map(str, joins.join(left, right, ["k"], how).collect()))
+        for rows in (joins.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+            got = joins.join_many(left, right, ["k"], how)
+            assert sorted(map(str, got.collect())) == want and len(want) > 100 and got.columns == joins.join(left, right, ["k"], how).columns
+        monkeypatch.undo()
