@@ -369,6 +369,10 @@ def test_passages_are_the_same_if_nothing_is_broadcast(make_docs, monkeypatch):
     want = sorted(map(str, passages.repeated(make_docs(rows)).collect()))
     monkeypatch.setattr(passages, "BROADCAST_BYTES", 0)
     assert want and sorted(map(str, passages.repeated(make_docs(rows)).collect())) == want
+    # cut from the texts, as in the pipeline
+    cut = passages.removed(make_docs(rows))
+    assert "ResolvedHint" not in cut._jdf.queryExecution().analyzed().toString()
+    assert sum("w" in r["text"] and len(r["text"].split()) < 40 for r in cut.collect()) == 29
 
 
 def stretches():
